@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from skerry.llm import decontaminate
 from skerry.llm.packing import op7_packing
 from skerry.llm.pii import op6_pii
 from skerry.llm.records import op4_token_records
+from skerry.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op4_token_records": op4_token_records,
     "op6_pii": op6_pii,
     "op7_packing": op7_packing,
+    "op9_decontamination": decontaminate.op9_decontamination,
+}
+ORACLES: dict[str, str] = {
+    "op9_decontamination": decontaminate.ORACLE,
 }
-ORACLES: dict[str, str] = {}
