@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from skerry.llm import decontaminate
 from skerry.llm.embeddings import op10_embedding_dedup
+from skerry.llm.minhash import op8_minhash_dedup
 from skerry.llm.packing import op7_packing
 from skerry.llm.pii import op6_pii
 from skerry.llm.records import op4_token_records
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_token_records": op4_token_records,
     "op6_pii": op6_pii,
     "op7_packing": op7_packing,
+    "op8_minhash_dedup": op8_minhash_dedup,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
