@@ -8,10 +8,12 @@ from skerry.llm.minhash import op8_minhash_dedup
 from skerry.llm.packing import op7_packing
 from skerry.llm.pii import op6_pii
 from skerry.llm.records import op4_token_records
+from skerry.llm.repeats import op2_repeated_passages
 from skerry.llm.toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_repeated_passages": op2_repeated_passages,
     "op4_token_records": op4_token_records,
     "op6_pii": op6_pii,
     "op7_packing": op7_packing,
