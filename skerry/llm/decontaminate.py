@@ -1,21 +1,21 @@
 """Operator 9: benchmark passages in documents, by a prefix-filtered join of word shingles. DataFrame operations only.
 
-Items are cut into windows of ``window`` words (a shorter item is one window). A window can only occur
-where all its two-word shingles do, so it is enough to look where its rarest shingle stands: that one is
-the prefix that the join needs, and its place in the window fixes where the window would start.
+Items are cut into windows of ``window`` words (a shorter item is one window). A window stands where all
+its two-word shingles stand in a row, so it is enough to look where its rarest shingle is: that one is the
+prefix that the join needs, and its place in the window fixes where the window would start.
 
-1. The shingles of all documents meet those of the items; what is left are the places of item shingles.
+1. The shingles of all documents meet those of the items, by their words; what is left are the places of
+   item shingles.
 2. Their counts order each window's shingles by rarity. A window with a shingle that no document has is
-   dropped, any other is joined by its rarest shingle. Starts before the first word and ends beyond the
-   last one are cut off.
-3. The windows found are compared word by word with their documents.
+   dropped, any other is joined by its rarest shingle, which gives the places where it would start.
+3. A window is confirmed where all its shingles stand at their places; a start before the first word or
+   an end beyond the last one finds no place to match.
 
-The item side is broadcast only where Spark finds it below its threshold; its shingles are a hash join
-or a sort-merge join with split partitions otherwise. A shingle that a third of all documents share is
-a count with map-side combining and one row of the item side, never a group.
+The item side is broadcast only where Spark finds it below its threshold, and is a join with split
+partitions otherwise. A shingle that a third of all documents share is a count with map-side combining
+and one row of the item side, never a group. Texts are read where they lie and never shuffled.
 
-Words are runs of letters, digits and anything beyond ASCII, with A-Z lower-cased. Steps 1 and 2 fold
-case for all letters, which finds a superset, and step 3 compares with A-Z folded only.
+Words are runs of letters, digits and anything beyond ASCII, with A-Z lower-cased.
 
 Defined cases: a null or empty text has no words and no hits; an empty or null item has no windows;
 equal windows of several items count for each; repeated rows repeat their results, and rows that share
@@ -34,10 +34,12 @@ from skerry.llm.common import Scratch, checkpointed
 
 WINDOW = 10
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def ascii_lower(text: Column) -> Column:
-    return F.translate(text, ascii_uppercase, ascii_lowercase)
+    """A-Z folded and nothing else. The plain fold does so for texts of ASCII, and is faster."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, ascii_uppercase, ascii_lowercase))
 
 
 def words(text: Column) -> Column:
@@ -45,80 +47,68 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, NOT_WORD), "")
 
 
-def shingle(left: Column, right: Column) -> Column:
-    return F.xxhash64(left, right)
-
-
 def shingles(w: Column) -> Column:
-    """Hashes of neighbouring words; none for fewer than two."""
-    return F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: shingle(F.get(w, i), F.get(w, i + 1))))
+    """Neighbouring words; none for fewer than two."""
+    pair = lambda i: F.struct(F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"))
+    return F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), pair))
 
 
 def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``item_id, wid, n``: each distinct window of each item; wid is the window itself, its words joined by spaces."""
+    """``item_id, words, n``: each distinct window of each item."""
     w = words(ascii_lower(F.coalesce("text", F.lit(""))))
     cut = items.select(F.col("item_id"), w.alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - window + 1, F.lit(1)))
-    each = cut.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, window))).alias("w"))
-    return each.select("item_id", F.array_join("w", " ").alias("wid"), F.size("w").alias("n")).distinct()
+    each = cut.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, window))).alias("words"))
+    return each.select("item_id", "words", F.size("words").alias("n")).distinct()
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def row_key(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.select(F.col("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
-def same_row(a: DataFrame, b: DataFrame) -> Column:
-    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
-
-
-def candidates(docs: DataFrame, windows: DataFrame, scratch: Scratch) -> DataFrame:
-    """``doc_id, text_key, start, n, wid``: places where a window's rarest shingle stands as the window has it."""
-    wide = windows.select("wid", "n").distinct()
-    folded = wide.select("wid", "n", F.split(F.lower("wid"), " ").alias("w"))
-    places = folded.select("wid", "n", F.posexplode(F.coalesce(shingles(F.col("w")), F.array(shingle(F.get("w", F.lit(0)), F.lit(None).cast("string"))))).alias("at", "h"))
-    vocabulary = scratch.table(places.select("h").distinct().coalesce(1), "vocabulary")
-    w = words(F.lower("text"))
-    rows = keyed(docs).select("doc_id", "text_key", w.alias("w"))
-    alone = windows.where("n = 1").limit(1).count() > 0
-    found = shingles(F.col("w"))
-    if alone:  # items of one word are looked for by single words
-        single = F.transform("w", lambda x: shingle(x, F.lit(None).cast("string")))
-        pairs = rows.select("doc_id", "text_key", F.size("w").alias("size"), F.posexplode(found).alias("at", "h")).union(rows.select("doc_id", "text_key", F.size("w").alias("size"), F.posexplode(single).alias("at", "h")))
-    else:
-        pairs = rows.select("doc_id", "text_key", F.size("w").alias("size"), F.posexplode(found).alias("at", "h"))
-    hits = scratch.table(pairs.join(vocabulary, "h", "left_semi"), "hits")
-    counts = hits.groupBy("h").agg(F.count("*").alias("df"))
-    ranked = places.join(counts, "h", "left").groupBy("wid", "n").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "at")).alias("rarest"))
-    prefix = ranked.where("rarest.df > 0").select("wid", "n", F.col("rarest.h").alias("h"), F.col("rarest.at").alias("offset"))
+def occurrences(docs: DataFrame, windows: DataFrame, scratch: Scratch) -> DataFrame:
+    """``doc_id, text_key, start, n, w``: all places where windows (``w, words, n``) stand."""
+    alone = F.array(F.struct(F.get("words", F.lit(0)).alias("a"), F.lit(None).cast("string").alias("b")))
+    places = windows.select("w", "n", F.posexplode(F.coalesce(shingles(F.col("words")), alone)).alias("offset", "s")).select("w", "n", "offset", "s.a", "s.b")
+    vocabulary = scratch.table(places.select("a", "b").distinct().withColumn("sid", F.monotonically_increasing_id()).coalesce(1), "vocabulary")
+    places = places.join(vocabulary, places["a"].eqNullSafe(vocabulary["a"]) & places["b"].eqNullSafe(vocabulary["b"])).select("w", "n", "offset", "sid")
+    places = scratch.table(places.coalesce(1), "places")
+    rows = row_key(docs).select("doc_id", "text_key", words(ascii_lower(F.col("text"))).alias("ws"))
+    pairs = rows.select("doc_id", "text_key", F.posexplode(shingles(F.col("ws"))).alias("at", "s")).select("doc_id", "text_key", "at", "s.a", "s.b")
+    hits = pairs.join(vocabulary, ["a", "b"]).select("doc_id", "text_key", "at", "sid")
+    if windows.where("n = 1").limit(1).count():  # items of one word are looked for by single words
+        single = rows.select("doc_id", "text_key", F.posexplode("ws").alias("at", "a"))
+        hits = hits.union(single.join(vocabulary.where("b is null").drop("b"), "a").select("doc_id", "text_key", "at", "sid"))
+    hits = scratch.table(hits, "hits")
+    counts = hits.groupBy("sid").agg(F.count("*").alias("df"))
+    ranked = places.join(counts, "sid", "left").groupBy("w", "n").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "sid", "offset")).alias("rarest"))
+    prefix = ranked.where("rarest.df > 0").select("w", "n", F.col("rarest.sid").alias("sid"), F.col("rarest.offset").alias("offset"))
     prefix = scratch.table(prefix.coalesce(1), "prefix")
-    start = F.col("at") - F.col("offset")
-    met = hits.join(prefix, "h").where((start >= 0) & (start + F.col("n") <= F.col("size")))
-    return met.select("doc_id", "text_key", start.alias("start"), "n", "wid")
+    met = hits.join(prefix, "sid").select("doc_id", "text_key", (F.col("at") - F.col("offset")).alias("start"), "w", "n").where("start >= 0").distinct()
+    wanted = met.join(places.select("w", "offset", F.col("sid").alias("s")), "w").select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "start", "w", "n", (F.col("start") + F.col("offset")).alias("p"), "s")
+    there = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("text_key")) & (F.col("p") == F.col("at")) & (F.col("s") == F.col("sid"))
+    # Both sides grow with the documents, so neither is broadcast, at any size.
+    found = wanted.hint("merge").join(hits, there, "left_semi").groupBy("d", "k", "start", "w", "n").agg(F.count("*").alias("c"))
+    return found.where(F.col("c") == F.greatest(F.col("n") - 1, F.lit(1))).select(F.col("d").alias("doc_id"), F.col("k").alias("text_key"), "start", "n", "w")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per row of docs: doc_id, text_key, n_words, n_hit, n_items, items (sorted ids as strings)."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    windows = scratch.table(windows_of(items, window).coalesce(1), "windows")
-    found = candidates(docs, windows, scratch).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "n", "wid")).alias("found"))
-    found = scratch.table(found, "found")
-    base, w = keyed(docs), F.col("w")
-    joined = base.join(found.withColumnRenamed("doc_id", "d").withColumnRenamed("text_key", "k"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left")
-    # Folding all letters moves no border between words; only documents with candidates are folded exactly.
-    text = F.when(F.col("found").isNotNull(), ascii_lower(F.col("text"))).otherwise(F.lower("text"))
-    split = joined.select("doc_id", "text_key", "found", words(text).alias("w"))
-    true = F.filter(F.coalesce("found", F.array()), lambda c: F.array_join(F.slice(w, c["start"] + 1, c["n"]), " ") == c["wid"])
-    verified = split.select("doc_id", "text_key", F.size("w").alias("n_words"), true.alias("found"))
-    hit = F.size(F.array_distinct(F.flatten(F.transform("found", lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1)))))
-    rows = verified.select("doc_id", "text_key", F.col("n_words").cast("long").alias("n_words"), hit.cast("long").alias("n_hit"), F.array_distinct(F.transform("found", lambda c: c["wid"])).alias("wids"))
-    rows = scratch.table(rows, "rows")
-    named = rows.where("n_hit > 0").select("doc_id", "text_key", F.explode("wids").alias("wid")).join(windows.select("wid", "item_id"), "wid")
-    named = named.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    named = named.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "items")
-    out = rows.drop("wids").join(named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left").drop("d", "k")
-    out = out.withColumn("items", F.coalesce("items", F.array().cast("array<string>"))).withColumn("n_items", F.size("items").cast("long"))
-    out = checkpointed(out)
+    cut = scratch.table(windows_of(items, window).coalesce(1), "cut")
+    windows = scratch.table(cut.select("words", "n").distinct().withColumn("w", F.monotonically_increasing_id()).coalesce(1), "windows")
+    owners = cut.join(windows, ["words", "n"]).select("w", F.col("item_id").cast("string").alias("item"))
+    found = scratch.table(occurrences(docs, windows, scratch), "found")
+    hit = found.select("doc_id", "text_key", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("p")).distinct().groupBy("doc_id", "text_key").agg(F.count("*").alias("n_hit"))
+    named = found.select("doc_id", "text_key", "w").distinct().join(owners, "w").groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
+    told = hit.join(named, same(hit, named)).select(hit["doc_id"].alias("d"), hit["text_key"].alias("k"), "n_hit", "items")
+    rows = row_key(docs).select("doc_id", "text_key", F.regexp_count("text", F.lit(ANY_WORD)).cast("long").alias("n_words"))
+    out = rows.join(told, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left")
+    none = F.array().cast("array<string>")
+    out = out.select("doc_id", "text_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"))
+    out = checkpointed(out.withColumn("n_items", F.size("items").cast("long")))
     scratch.drop()
     return out
 
