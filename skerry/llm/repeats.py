@@ -36,6 +36,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -261,7 +262,7 @@ def answer_lists(key: tuple, lists: pa.Table) -> pa.Table:
 def surroundings(key: tuple, docs: pa.Table, told: pa.Table, buckets: int) -> pa.Table:
     """Step 2, in a group: the distinct surroundings of repeated anchors, and where they stand."""
     schema = pa.schema([("b", pa.int64()), ("g", pa.int64()), ("h", pa.binary()), ("keys", pa.binary()), ("around", pa.binary()), ("sides", pa.binary()), ("entry", pa.binary()), ("place", pa.binary()), ("own", pa.binary())])
-    _, ids, starts, data = laid_out(docs, told.filter(pa.compute.is_valid(told.column("doc_id"))))
+    _, ids, starts, data = laid_out(docs, told.filter(pc.is_valid(told.column("doc_id"))))
     masks = {b.as_py(): m for b, m in zip(told.column("b"), told.column("mask"), strict=True) if m.is_valid}
     ends = np.append(starts[1:], len(data)) if len(starts) else starts
     places, hashes = anchors(data, ends)
@@ -311,7 +312,7 @@ def judge_bucket(key: tuple, lists: pa.Table) -> pa.Table:
 
 def cut_out(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
     """Step 3: what is left of a group's texts."""
-    copies = told.filter(pa.compute.is_valid(told.column("doc_id")))
+    copies = told.filter(pc.is_valid(told.column("doc_id")))
     rows, _, starts, data = laid_out(docs, copies)
     change = np.zeros(len(data) + 1, np.int32)
     for p, b in zip(told.column("place"), told.column("bits"), strict=True):
