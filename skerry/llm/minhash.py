@@ -11,10 +11,15 @@ At a similarity of 0.8, 48 coordinates and 22 matches miss a linked pair with a
 a million, less for closer ones.
 
 Texts with equal sets are one class beforehand, so copies cost a row each. What is asked for is
-components, so a list of postings needs no pairs among documents known to be connected: in the first
-round each document meets the head that most of its lists name, in the next ones a neighbour of another
-component in lists dealt into chunks, and in the end all pairs across components that still share a
-list, each once. Nothing is capped: the rounds only decide which links are found first.
+components, so a list of postings needs no pairs among documents known to be connected:
+
+1. Each class is held against the head that most of its lists name, and what links is connected.
+2. A list that still has members of several components names a zone, that of its largest one. The
+   others in it are held against that component's members in such lists and against each other.
+
+Zones are dealt into blocks of at most ``BLOCK`` classes, and pairs of blocks are compared as wholes, as
+products of their shingle sets' incidence. A text so goes to as many tasks as there are blocks on the
+other side, not pairs, and no task ever holds a whole zone. Nothing is capped.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing; a text of fewer
 words than a shingle is one shingle; equal texts are linked; rows that repeat a doc_id are rows of their
@@ -28,13 +33,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.llm.common import Scratch, checkpointed, connected_components, small_arrow_batches
-from skerry.llm.shingles import U, exact_set, mix, shingle_set
+from skerry.llm.shingles import U, mix, shingle_set
 
-COORDINATES, MATCHES, CHUNK, ROUNDS, EASY = 48, 22, 512, 6, 2
+COORDINATES, MATCHES, BLOCK = 48, 22, 256
 
 
 def signature(shingles: np.ndarray, coordinates: int = COORDINATES, seed: int = 7) -> np.ndarray:
@@ -86,65 +91,98 @@ def prefixes(classes: DataFrame, matches: int) -> DataFrame:
     return met.select("cls", F.transform(rarest, lambda x: x["key"]).alias("keys"))
 
 
-class Confirmer:
-    """Links among candidate pairs, on signatures first, then on the full sets."""
-
-    def __init__(self, classes: DataFrame, texts: DataFrame, k: int, percent: int, matches: int):
-        self.sigs, self.texts, self.k, self.percent, self.matches = classes.select("cls", "n", "sig"), texts, k, percent, matches
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        k, percent = self.k, self.percent
-        a = self.sigs.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-        b = self.sigs.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-        same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-        short = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-        near = pairs.join(a, "a").join(b, "b").where(short & (same >= self.matches)).select("a", "b")
-        ta = self.texts.select(F.col("cls").alias("a"), F.col("text").alias("ta"))
-        tb = self.texts.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-        def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                left, right, last, last_set, keep = batch.column(0).to_pylist(), batch.column(1).to_pylist(), None, set(), []
-                for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                    if right[i] != last:
-                        last, last_set = right[i], exact_set(y.as_py(), k)
-                    own = exact_set(x.as_py(), k)
-                    both = len(own & last_set)
-                    if 100 * both >= percent * (len(own) + len(last_set) - both):
-                        keep.append(i)
-                yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in keep], pa.int64()) for c in (left, right)], schema=schema)
-
-        return near.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(confirm, "a long, b long")
-
-
-def head_pairs(lists: DataFrame) -> DataFrame:
-    """For each class the head (smallest class) that most of its lists have."""
+def linked_rows(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of sets reach the similarity, as a symmetric matrix without the diagonal."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    values, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    both = np.zeros((len(sets), len(sets)), np.int64)
+    for at in range(0, len(values), 8192):  # incidence a stretch of values at a time
+        own = (inverse >= at) & (inverse < at + 8192)
+        part = np.zeros((len(sets), min(8192, len(values) - at)), np.float32)
+        part[row[own], inverse[own] - at] = 1
+        both += np.rint(part @ part.T).astype(np.int64)
+    near = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+    np.fill_diagonal(near, False)
+    return near
+
+
+def confirmed(zones: DataFrame, texts: DataFrame, k: int, percent: int, among: bool, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) in zones of (zone, cls, component, large): large rows against the others, and with
+    ``among`` the others against each other, but not within a component. Every text's set is whole."""
+    side = zones.withColumn("salt", F.xxhash64("cls"))
+    sizes = zones.groupBy("zone").agg(F.ceil(F.sum(F.col("large").cast("long")) / block).cast("int").alias("nl"), F.ceil(F.sum((~F.col("large")).cast("long")) / block).cast("int").alias("ns")).where("ns > 0" if among else "ns > 0 and nl > 0")
+    rows = side.join(sizes, "zone").withColumn("at", F.pmod("salt", F.when(F.col("large"), F.col("nl")).otherwise(F.col("ns"))).cast("int"))
+    count = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+    as_large = F.transform(count("ns"), lambda i: F.struct(F.lit(0).alias("kind"), i.alias("i"), F.col("at").alias("j")))
+    as_small = F.transform(count("nl"), lambda j: F.struct(F.lit(0).alias("kind"), F.col("at").alias("i"), j.alias("j")))
+    if among:
+        as_small = F.concat(as_small, F.transform(count("ns"), lambda i: F.struct(F.lit(1).alias("kind"), F.least(F.col("at"), i).alias("i"), F.greatest(F.col("at"), i).alias("j"))))
+    dealt = rows.select("zone", "cls", "component", "large", F.inline(F.when(F.col("large"), as_large).otherwise(as_small)))
+    # A task of one component has nothing to compare.
+    useful = dealt.groupBy("zone", "kind", "i", "j").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    n = int(zones.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    full = dealt.join(useful, ["zone", "kind", "i", "j"]).join(texts.select("cls", "text"), "cls").select("zone", "kind", "i", "j", "cls", "component", "large", "text")
+    full = full.repartition(n, "zone", "kind", "i", "j").sortWithinPartitions("zone", "kind", "i", "j")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, kept = None, []
+
+        def closed() -> pa.RecordBatch | None:
+            rows = pa.Table.from_batches(kept)
+            ids, comp, large = (np.asarray(rows.column(c)) for c in ("cls", "component", "large"))
+            sets = [shingle_set(t.as_py(), k) for t in rows.column("text")]
+            near = linked_rows(sets, percent) & (comp[:, None] != comp[None, :])
+            if held[1] == 0:
+                near &= large[:, None] != large[None, :]
+            root = local_roots(near, ids)
+            own = np.flatnonzero(root != ids)
+            return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(root[own])], schema=schema) if len(own) else None
+
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(4)])
+            edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(batch)], strict=True):
+                key = tuple(int(x) for x in keys[:, a])
+                if key != held and kept:
+                    if (out := closed()) is not None:
+                        yield out
+                    kept = []
+                held = key
+                kept.append(batch.slice(a, b - a))
+        if kept and (out := closed()) is not None:
+            yield out
+
+    return full.mapInArrow(compare, "a long, b long")
+
+
+def local_roots(near: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The smallest id that each row reaches within a block's links."""
+    root, big = ids.copy(), np.iinfo(np.int64).max
+    while True:
+        low = np.minimum(root, np.where(near, root[None, :], big).min(axis=1))
+        if (low == root).all():
+            return root
+        root = low
+
+
+def head_zones(lists: DataFrame) -> DataFrame:
+    """Each class with the head (smallest class) that most of its lists have, and the heads themselves."""
     heads = lists.groupBy("key").agg(F.min("cls").alias("head"))
     met = lists.join(heads, "key").where("cls <> head").groupBy("cls", "head").agg(F.count("*").alias("c"))
-    return met.groupBy("cls").agg(F.max(F.struct("c", (-F.col("head")).alias("h"))).alias("m")).select(F.col("cls").alias("a"), (-F.col("m.h")).alias("b"))
-
-
-def mate_pairs(live: DataFrame, turn: int) -> DataFrame:
-    """For each class a neighbour of another component in lists dealt into chunks, anew each turn."""
-    order = F.xxhash64("cls", F.lit(turn))
-    chunk = F.pmod(F.xxhash64("cls", F.lit(-turn)), F.ceil(F.col("m") / CHUNK).cast("long"))
-    w = Window.partitionBy("key", "chunk").orderBy("o", "cls")
-    met = live.withColumn("o", order).withColumn("chunk", chunk)
-    met = met.select("cls", "component", F.lag("cls").over(w).alias("mate"), F.lag("component").over(w).alias("other"))
-    met = met.where("component <> other").groupBy("cls", "mate").agg(F.count("*").alias("c"))
-    return met.groupBy("cls").agg(F.max(F.struct("c", "mate")).alias("m")).select(F.col("cls").alias("a"), F.col("m.mate").alias("b"))
+    best = met.groupBy("cls").agg(F.max(F.struct("c", (-F.col("head")).alias("h"))).alias("m")).select((-F.col("m.h")).alias("zone"), "cls")
+    own = best.select("zone", F.col("zone").alias("cls")).distinct()
+    rows = best.withColumn("large", F.lit(False)).union(own.withColumn("large", F.lit(True)))
+    return rows.select("zone", "cls", F.col("cls").alias("component"), "large")
 
 
-def cross_pairs(live: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
-    """All pairs across components that share a list, each in its first common list only."""
-    full = live.join(prefix.select("cls", "keys"), "cls")
-    minor = full.where("component <> major").select("key", F.col("cls").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("keys").alias("pa"))
-    each = full.select("key", F.col("cls").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("keys").alias("pb"), (F.col("component") == F.col("major")).alias("large"))
-    once = F.col("large") | (F.col("a") < F.col("b"))
-    near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    first = F.array_min(F.array_intersect("pa", "pb")) == F.col("k")
-    return minor.withColumnRenamed("key", "k").join(each, (F.col("k") == F.col("key")) & (F.col("ca") != F.col("cb")) & once & near & first).select("a", "b")
+def mixed_zones(lists: DataFrame, components: DataFrame) -> DataFrame:
+    """Members of lists that hold several components: the zone is the one with most members there."""
+    named = lists.select("key", "cls").join(components.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    shares = named.groupBy("key", "component").agg(F.count("*").alias("c"))
+    mixed = shares.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("c", "component")).alias("top")).where("parts > 1").select("key", F.col("top.component").alias("zone"))
+    return named.join(mixed, "key").select("zone", "cls", "component", (F.col("component") == F.col("zone")).alias("large")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
@@ -161,27 +199,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coordinates:
     text = F.coalesce("text", F.lit(""))
     texts = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text"))
     texts = scratch.table(texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t"))).select("cls", "text"), "texts")
-    confirmer = Confirmer(classes, texts, k, percent, matches)
-    links = scratch.table(confirmer.links(head_pairs(lists)), "links0")
-    postings = lists.count()
-    components = connected_components(links)
-    for turn in range(1, ROUNDS + 1):
-        named = lists.join(components.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        shares = named.groupBy("key", "component").agg(F.count("*").alias("c"))
-        mixed = shares.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("parts"), F.max(F.struct("c", "component")).alias("top")).where("parts > 1")
-        mixed = scratch.table(mixed.select("key", "m", "q", F.col("top.component").alias("major")), f"mixed{turn}")
-        cost = mixed.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2).alias("pairs")).first().pairs or 0
-        if not cost:
-            break
-        live = named.join(mixed, "key")
-        last = turn == ROUNDS or cost <= EASY * postings
-        pairs = cross_pairs(live, prefix, percent) if last else mate_pairs(live, turn)
-        more = scratch.table(confirmer.links(pairs), f"links{turn}")
-        # Links join what was connected before: the old stars and the new links say it all.
-        links = components.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
-        components = connected_components(links)
-        if last:
-            break
+    zones = scratch.table(head_zones(lists), "heads")
+    stars = scratch.table(confirmed(zones, texts, k, percent, among=False), "stars")
+    components = connected_components(stars)
+    zones = scratch.table(mixed_zones(lists, components), "zones")
+    more = scratch.table(confirmed(zones, texts, k, percent, among=True), "links")
+    # The old stars and the new links say all that is connected.
+    components = connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     named = classes.select("cls", "k1", "k2", "n", "rep").join(components.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     lowest = named.groupBy("component").agg(F.min("rep.doc_id").alias("component_id"))
     named = named.join(lowest, "component").select("k1", "k2", "n", "component_id", F.lit(True).alias("known"))
