@@ -17,9 +17,12 @@ components, so a list of postings needs no pairs among documents known to be con
 2. A list that still has members of several components names a zone, that of its largest one. The
    others in it are held against that component's members in such lists and against each other.
 
-Zones are dealt into blocks of at most ``BLOCK`` classes, and pairs of blocks are compared as wholes, as
-products of their shingle sets' incidence. A text so goes to as many tasks as there are blocks on the
-other side, not pairs, and no task ever holds a whole zone. Nothing is capped.
+Postings are kept apart by the sizes of their sets too, in steps that two linked sets can't be further
+apart than one of. Zones are dealt into blocks of at most ``BLOCK`` classes, and pairs of blocks are
+compared as wholes: first their signatures, which counts the collisions of all 48 coordinates; then, for
+the classes that some other one matches often enough, their shingle sets, as a product of incidences. A
+class so goes to as many tasks as there are blocks on the other side, not pairs, and no task ever holds
+a whole zone. Nothing is capped.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing; a text of fewer
 words than a shingle is one shingle; equal texts are linked; rows that repeat a doc_id are rows of their
@@ -107,38 +110,45 @@ def linked_rows(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return near
 
 
-def confirmed(zones: DataFrame, texts: DataFrame, k: int, percent: int, among: bool, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) in zones of (zone, cls, component, large): large rows against the others, and with
-    ``among`` the others against each other, but not within a component. Every text's set is whole."""
+def matching_rows(sigs: np.ndarray, sizes: np.ndarray, percent: int, matches: int) -> np.ndarray:
+    """Which pairs have enough equal coordinates, and sizes that a link allows."""
+    count = np.zeros((len(sigs), len(sigs)), np.int16)
+    for c in range(sigs.shape[1]):
+        count += sigs[:, c][:, None] == sigs[:, c][None, :]
+    short, long = np.minimum(sizes[:, None], sizes[None, :]), np.maximum(sizes[:, None], sizes[None, :])
+    return (count >= matches) & (100 * short >= percent * long)
+
+
+def compared(zones: DataFrame, payload: DataFrame, judge, output: str, among: bool, block: int = BLOCK) -> DataFrame:
+    """Blocks of zones of (zone, cls, component, large), with the payload of each class: large rows meet the
+    others, and with ``among`` the others each other, but not within a component. judge gets the rows of a
+    pair of blocks and which pairs count, and gives a batch or nothing."""
     side = zones.withColumn("salt", F.xxhash64("cls"))
     sizes = zones.groupBy("zone").agg(F.ceil(F.sum(F.col("large").cast("long")) / block).cast("int").alias("nl"), F.ceil(F.sum((~F.col("large")).cast("long")) / block).cast("int").alias("ns")).where("ns > 0" if among else "ns > 0 and nl > 0")
     rows = side.join(sizes, "zone").withColumn("at", F.pmod("salt", F.when(F.col("large"), F.col("nl")).otherwise(F.col("ns"))).cast("int"))
     count = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
     as_large = F.transform(count("ns"), lambda i: F.struct(F.lit(0).alias("kind"), i.alias("i"), F.col("at").alias("j")))
     as_small = F.transform(count("nl"), lambda j: F.struct(F.lit(0).alias("kind"), F.col("at").alias("i"), j.alias("j")))
-    if among:
-        as_small = F.concat(as_small, F.transform(count("ns"), lambda i: F.struct(F.lit(1).alias("kind"), F.least(F.col("at"), i).alias("i"), F.greatest(F.col("at"), i).alias("j"))))
+    if among:  # needless where there is one other
+        again = F.transform(F.when(F.col("several"), count("ns")).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.lit(1).alias("kind"), F.least(F.col("at"), i).alias("i"), F.greatest(F.col("at"), i).alias("j")))
+        lone = zones.where(~F.col("large")).groupBy("zone").agg((F.count("*") > 1).alias("several"))
+        rows = rows.join(lone, "zone")
+        as_small = F.concat(as_small, again)
     dealt = rows.select("zone", "cls", "component", "large", F.inline(F.when(F.col("large"), as_large).otherwise(as_small)))
-    # A task of one component has nothing to compare.
-    useful = dealt.groupBy("zone", "kind", "i", "j").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").drop("lo", "hi")
     n = int(zones.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    full = dealt.join(useful, ["zone", "kind", "i", "j"]).join(texts.select("cls", "text"), "cls").select("zone", "kind", "i", "j", "cls", "component", "large", "text")
+    full = dealt.join(payload, "cls").select("zone", "kind", "i", "j", "cls", "component", "large", *[c for c in payload.columns if c != "cls"])
     full = full.repartition(n, "zone", "kind", "i", "j").sortWithinPartitions("zone", "kind", "i", "j")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, kept = None, []
 
         def closed() -> pa.RecordBatch | None:
             rows = pa.Table.from_batches(kept)
-            ids, comp, large = (np.asarray(rows.column(c)) for c in ("cls", "component", "large"))
-            sets = [shingle_set(t.as_py(), k) for t in rows.column("text")]
-            near = linked_rows(sets, percent) & (comp[:, None] != comp[None, :])
-            if held[1] == 0:
-                near &= large[:, None] != large[None, :]
-            root = local_roots(near, ids)
-            own = np.flatnonzero(root != ids)
-            return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(root[own])], schema=schema) if len(own) else None
+            comp, large = np.asarray(rows.column("component")), np.asarray(rows.column("large"))
+            if (comp == comp[0]).all():
+                return None
+            counts = comp[:, None] != comp[None, :]
+            return judge(rows, counts if held[1] else counts & (large[:, None] != large[None, :]))
 
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(4)])
@@ -154,7 +164,27 @@ def confirmed(zones: DataFrame, texts: DataFrame, k: int, percent: int, among: b
         if kept and (out := closed()) is not None:
             yield out
 
-    return full.mapInArrow(compare, "a long, b long")
+    return full.mapInArrow(compare, output)
+
+
+def confirmed(zones: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int, matches: int, among: bool, scratch: Scratch, name: str) -> DataFrame:
+    """Links (a, b) in zones: first by collisions of whole signatures, then by whole sets."""
+    flags, links = pa.schema([("zone", pa.int64()), ("cls", pa.int64())]), pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def by_signature(rows: pa.Table, counts: np.ndarray) -> pa.RecordBatch | None:
+        sigs = rows.column("sig").combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
+        hit = np.flatnonzero((matching_rows(sigs, np.asarray(rows.column("n")), percent, matches) & counts).any(axis=1))
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(rows.column(c))[hit]) for c in ("zone", "cls")], schema=flags) if len(hit) else None
+
+    def by_set(rows: pa.Table, counts: np.ndarray) -> pa.RecordBatch | None:
+        ids = np.asarray(rows.column("cls"))
+        root = local_roots(linked_rows([shingle_set(t.as_py(), k) for t in rows.column("text")], percent) & counts, ids)
+        own = np.flatnonzero(root != ids)
+        return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(root[own])], schema=links) if len(own) else None
+
+    near = compared(zones, classes.select("cls", "n", "sig"), by_signature, "zone long, cls long", among).distinct()
+    left = scratch.table(zones.join(near, ["zone", "cls"], "left_semi"), f"{name}-near")
+    return scratch.table(compared(left, texts.select("cls", "text"), by_set, "a long, b long", among), f"{name}-links")
 
 
 def local_roots(near: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -192,7 +222,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coordinates:
     classes = signed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_key")).alias("rep"), F.first("sig").alias("sig"))
     classes = scratch.table(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     prefix = scratch.table(prefixes(classes, matches).join(classes.select("cls", "n", "rep"), "cls"), "prefix")
-    lists = prefix.select("cls", "n", F.explode("keys").alias("key"))
+    # Sets of which one has 100 / percent times the other's size at most lie in one step or in neighbouring ones.
+    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9) if percent < 100 else F.col("n")
+    posted = prefix.select("cls", F.explode("keys").alias("value"), step.alias("step"))
+    lists = posted.select("cls", F.explode(F.array(F.xxhash64("value", "step"), F.xxhash64("value", F.col("step") + 1))).alias("key"))
     crowded = lists.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     lists = scratch.table(lists.join(crowded.select("key"), "key"), "lists")
     wanted = prefix.join(lists.select("cls").distinct(), "cls", "left_semi").select("cls", F.col("rep.doc_id").alias("d"), F.col("rep.text_key").alias("t"))
@@ -200,10 +233,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coordinates:
     texts = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text"))
     texts = scratch.table(texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t"))).select("cls", "text"), "texts")
     zones = scratch.table(head_zones(lists), "heads")
-    stars = scratch.table(confirmed(zones, texts, k, percent, among=False), "stars")
+    stars = confirmed(zones, classes, texts, k, percent, matches, False, scratch, "star")
     components = connected_components(stars)
     zones = scratch.table(mixed_zones(lists, components), "zones")
-    more = scratch.table(confirmed(zones, texts, k, percent, among=True), "links")
+    more = confirmed(zones, classes, texts, k, percent, matches, True, scratch, "rest")
     # The old stars and the new links say all that is connected.
     components = connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     named = classes.select("cls", "k1", "k2", "n", "rep").join(components.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
