@@ -14,7 +14,7 @@ CACHE_VERSION = "2.0.0"
 
 def read_notes(spark: SparkSession, folder: str, limit: int | None = None, pattern: str = "*.md") -> DataFrame:
     """One row for each markdown file, with what can be said of it from its text and name."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(folder)
+    raw = spark.read.text(folder, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True)
     rows = raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("last_modified"))
     return described(rows.orderBy("path").limit(limit) if limit else rows)
 
