@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from skerry.llm.common import document_columns, small_arrow_batches
 from skerry.llm.shingles import BASE, BASE_INVERSE, LETTERS, U, mix, powers
 
-LENGTH, ANCHOR, PIECE, GROUPS_PER_PARTITION = 50, 25, 1 << 16, 4
+LENGTH, ANCHOR, PIECE, GROUPS_PER_PARTITION = 50, 25, 1 << 16, 2
 SIDE = LENGTH - ANCHOR
 NONE = np.iinfo(np.int64).max
 
@@ -348,7 +348,7 @@ def remove_repeats(docs: DataFrame, groups: int | None = None, buckets: int | No
     spark = docs.sparkSession
     small_arrow_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups, buckets = groups or n * GROUPS_PER_PARTITION, buckets or n * 2
+    groups, buckets = groups or n * GROUPS_PER_PARTITION, buckets or n
     laid = document_columns(docs).withColumn("g", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))), F.lit(groups)))
     signed = document_columns(docs).select("doc_id", F.octet_length("text").alias("n"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2")).where(f"n >= {LENGTH} and doc_id is not null")
     first = signed.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
