@@ -30,12 +30,25 @@ def indexable(files: DataFrame, most: int = 512 * 1024) -> DataFrame:
     return files.where((F.col("size") <= most) & (F.trim("content") != ""))
 
 
+def placed(rows: DataFrame, order: str = "id", slots: int = 64) -> DataFrame:
+    """Rows with their 0-based place by a numeric column. Ranks are counted in slots between quantiles and
+    shifted by the slots before, so no task sorts the whole table. The quantiles are ``slots`` numbers."""
+    cuts = rows.agg(F.percentile_approx(order, [i / slots for i in range(1, slots)], 1000).alias("q")).first().q or []
+    bounds = sorted(set(cuts))
+    slot = sum((F.when(F.col(order) > b, 1).otherwise(0) for b in bounds), F.lit(0))
+    cut = rows.withColumn("slot", slot)
+    sums = cut.groupBy("slot").agg(F.count("*").alias("c"))
+    before = sums.select("slot", F.coalesce(F.sum("c").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("slot").orderBy(order)) - 1
+    return cut.withColumn("n", inside).join(F.broadcast(before), "slot").withColumn("place", F.col("before") + F.col("n")).drop("slot", "n", "before")  # ``slots`` rows at most
+
+
 def spread_sample(rows: DataFrame, n: int, order: str = "id") -> DataFrame:
     """n rows evenly spread by place: those at floor(i * total / n). The total is one row."""
-    placed = rows.withColumn("p", F.row_number().over(Window.orderBy(order)) - 1).crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))
-    first = F.ceil(F.col("p") * n / F.col("total"))
-    hit = (first < n) & (F.floor(first * F.col("total") / n) == F.col("p"))
-    return placed.where((F.col("total") <= n) | hit).drop("p", "total")
+    ranked = placed(rows, order).crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))
+    first = F.ceil(F.col("place") * n / F.col("total"))
+    hit = (first < n) & (F.floor(first * F.col("total") / n) == F.col("place"))
+    return ranked.where((F.col("total") <= n) | hit).drop("place", "total")
 
 
 def cache_valid(cached: DataFrame, live: DataFrame, sample: int = 50) -> DataFrame:

@@ -25,20 +25,19 @@ def keep_last(rows: DataFrame, seq: str = "seq", key: str = "id") -> DataFrame:
     return rows.withColumn("n", n).where("n = 1").drop("n")
 
 
-def sorted_items(items: DataFrame, order: tuple[str, ...] = ("pinned", "recent")) -> DataFrame:
-    """Reverse insertion order, with pinned and recent items on top."""
+def sorted_items(items: DataFrame, order: tuple[str, ...] = ("pinned", "recent"), limit: int = 200) -> DataFrame:
+    """Reverse insertion order, with pinned and recent items on top; the first of them, as far as a palette shows."""
     group = F.lit(len(order))
     for i, name in reversed(list(enumerate(order))):
         group = F.when(F.col("is_pinned") if name == "pinned" else F.col("last_used").isNotNull(), i).otherwise(group)
-    return items.withColumn("group", group).withColumn("place", F.row_number().over(Window.orderBy("group", F.desc_nulls_last("last_used"), F.desc("seq"))))
+    by = ("group", F.desc_nulls_last("last_used"), F.desc("seq"))
+    return items.withColumn("group", group).orderBy(*by).limit(limit).withColumn("place", F.row_number().over(Window.orderBy(*by)))
 
 
 def limited(rows: DataFrame, hidden: DataFrame, limit: int = 50) -> DataFrame:
     """(id, pos, is_previous): the limit counts visible rows, previous ones come first in their order."""
-    marked = rows.join(hidden.select("id", F.lit(True).alias("h")), "id", "left").withColumn("hidden", F.coalesce("h", F.lit(False))).drop("h")
-    before = F.sum(F.when(~F.col("hidden"), 1).otherwise(0)).over(Window.orderBy("pos"))
-    kept = marked.withColumn("visible", before).where(F.col("visible") <= limit).where(~F.col("hidden"))
-    return kept.withColumn("place", F.row_number().over(Window.orderBy(F.desc("is_previous"), "pos"))).drop("visible", "hidden")
+    kept = rows.join(hidden.select("id"), "id", "left_anti").orderBy("pos").limit(limit)
+    return kept.withColumn("place", F.row_number().over(Window.orderBy(F.desc("is_previous"), "pos")))
 
 
 def hidden_count(rows: DataFrame, hidden: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,15 +24,23 @@ def scored_access(table: DataFrame, now: Column) -> DataFrame:
     return table.crossJoin(F.broadcast(most)).withColumn("usage", scores.usage_score(F.col("opens"), F.col("most"))).withColumn("recency", scores.recency(F.col("last_opened"), now)).drop("most")
 
 
-def bounces(events: DataFrame, open_kind: str = "click", modal_kind: str = "view", seconds: float = BOUNCE_SECONDS, per: str | None = None) -> DataFrame:
+def bounces(events: DataFrame, open_kind: str = "click", modal_kind: str = "view", seconds: float = BOUNCE_SECONDS, per: str | None = None, slot: int = 3600) -> DataFrame:
     """A search modal that opens less than so many seconds after the latest open from a search: (path, ts, after).
 
     Only the event just before can be that open, since any modal clears what came before it. per: the
-    column within which events follow each other (one user's), None for one stream of all.
+    column within which events follow each other (one user's), None for one stream of all. Events are
+    looked at in time slots, each with the last events of the slot before it as far back as a bounce can
+    reach, so a single stream is no single task.
     """
     both = events.where(F.col("kind").isin(open_kind, modal_kind))
-    w = (Window.partitionBy(per) if per else Window.partitionBy(F.lit(0))).orderBy("ts", "event_id")
-    seen = both.select("*", F.lag("kind").over(w).alias("before"), F.lag("path").over(w).alias("opened"), F.lag("ts").over(w).alias("at"))
+    width = int(max(slot, math.ceil(seconds)) * 1e6)
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    own = F.floor(us / width)
+    late = us - own * width >= width - int(math.ceil(seconds * 1e6))
+    places = F.when(late, F.array(F.struct(own.alias("slot"), F.lit(True).alias("own")), F.struct((own + 1).alias("slot"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(own.alias("slot"), F.lit(True).alias("own"))))
+    dealt = both.select("*", F.inline(places))
+    w = Window.partitionBy("slot", *([per] if per else [])).orderBy("ts", "event_id")
+    seen = dealt.select("*", F.lag("kind").over(w).alias("before"), F.lag("path").over(w).alias("opened"), F.lag("ts").over(w).alias("at")).where("own")
     after = scores.seconds_between(F.col("at"), F.col("ts"))
     kept = seen.where((F.col("kind") == modal_kind) & (F.col("before") == open_kind) & (after < seconds))
     return kept.select(*([per] if per else []), F.col("opened").alias("path"), "ts", F.round(after, 6).alias("after"))

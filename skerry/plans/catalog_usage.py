@@ -183,7 +183,7 @@ def palette_suggest(s, d):
 
 
 def palette_sorted_items(s, d):
-    return palette.sorted_items(items(s, d)).where("place <= 200").select("id", "group", "place")
+    return palette.sorted_items(items(s, d)).select("id", "group", "place")
 
 
 def commands(s, d):

@@ -57,6 +57,16 @@ class Store:
             fs, p = self._fs(f"{self.folder}/{t}")
             fs.delete(p, True)
 
+    def save_index(self, postings: DataFrame, df: DataFrame) -> None:
+        """Postings and term counts in order of terms, so that a query's terms prune files and row groups."""
+        for name, rows in (("postings", postings), ("term_df", df)):
+            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            self.write(name, rows.repartitionByRange(n, "term").sortWithinPartitions("term"))
+
+    def load_index(self) -> tuple[DataFrame, DataFrame] | None:
+        post, df = self.read("postings"), self.read("term_df")
+        return None if post is None or df is None else (post, df)
+
     def save_ranks(self, ranks: DataFrame, at) -> None:
         self.write("page_rank", ranks.withColumn("computed_at", at))
 
