@@ -34,7 +34,6 @@ from skerry.llm.common import Scratch, checkpointed
 
 WINDOW = 10
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def ascii_lower(text: Column) -> Column:
@@ -104,7 +103,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     named = found.select("doc_id", "text_key", "w").distinct().join(owners, "w").groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("item")).alias("items"))
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
     told = hit.join(named, same(hit, named)).select(hit["doc_id"].alias("d"), hit["text_key"].alias("k"), "n_hit", "items")
-    rows = row_key(docs).select("doc_id", "text_key", F.regexp_count("text", F.lit(ANY_WORD)).cast("long").alias("n_words"))
+    # Folding all letters moves no border between words.
+    rows = row_key(docs).select("doc_id", "text_key", F.size(words(F.lower("text"))).cast("long").alias("n_words"))
     out = rows.join(told, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left")
     none = F.array().cast("array<string>")
     out = out.select("doc_id", "text_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"))
