@@ -2,7 +2,8 @@
 
 Directions are a structured random code: vectors are turned by a random rotation, cut in two blocks,
 and a filter is a pair of code vectors, one for each block, so ``m * m`` directions cost ``2 * m``
-products. Each vector is list-decoded to all directions whose cap it lies in (Becker, Ducas, Gama and
+products. Directions of one code are alike, so how many caps hold a vector varies much; ``CODES`` codes of
+their own rotations share the work evenly. Each vector is list-decoded to all directions whose cap it lies in (Becker, Ducas, Gama and
 Laarhoven, 2016); with none it keeps its nearest direction. Vectors meet in their filters and are
 verified by cosine in double precision.
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from skerry.llm.common import Scratch, checkpointed, connected_components, small_arrow_batches
 
-THRESHOLD, PER_FILTER, MEETINGS, BLOCK, SEED = 0.9, 8, 7.0, 4096, 20240101
+THRESHOLD, PER_FILTER, MEETINGS, CODES, BLOCK, SEED = 0.9, 8, 16.0, 6, 4096, 20240101
 
 
 def upper_tail(z: float) -> float:
@@ -91,6 +92,13 @@ class CapFilters:
         return out
 
 
+def decode_all(codes: list[CapFilters], unit: np.ndarray) -> list[np.ndarray]:
+    """Sorted filter numbers over several codes, which follow each other."""
+    parts = [c.decode(unit) for c in codes]
+    size = len(codes[0].left) ** 2
+    return [np.concatenate([p[i] + k * size for k, p in enumerate(parts)]) for i in range(len(unit))]
+
+
 def matrix(column: pa.ListArray) -> np.ndarray:
     """A column of vectors of one length."""
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
@@ -150,7 +158,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, meetings: flo
     classes = keyed.where("ok").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("embedding").alias("embedding"))
     classes = scratch.table(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     counts = {r.d: r.n for r in classes.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).collect()}
-    filters = {d: CapFilters.make(d, n, threshold, meetings, per_filter) for d, n in counts.items()}
+    filters = {d: [CapFilters.make(d, n, threshold, meetings / CODES, per_filter, SEED + k * 1_000_003) for k in range(CODES)] for d, n in counts.items()}
     schema = pa.schema([("cls", pa.int64()), ("filters", pa.list_(pa.int64()))])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +166,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, meetings: flo
             sizes = batch.column(2).to_numpy()
             for d in np.unique(sizes):
                 own = batch.filter(pa.array(sizes == d))
-                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(filters[int(d)].decode(unit_rows(matrix(own.column(1)))), pa.list_(pa.int64()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(decode_all(filters[int(d)], unit_rows(matrix(own.column(1)))), pa.list_(pa.int64()))], schema=schema)
 
     decoded = classes.select("cls", "embedding", F.size("embedding").alias("d"))
     decoded = scratch.table(decoded.mapInArrow(decode, "cls long, filters array<long>"), "filters")

@@ -456,6 +456,18 @@ def test_vector_recall_at_the_threshold(spark):
     assert got >= 0.9 * 600
 
 
+def test_caps_of_many_vectors_still_meet():
+    g = np.random.default_rng(32)
+    a = embeddings.unit_rows(g.standard_normal((400, 64)))
+    e = g.standard_normal((400, 64))
+    e = embeddings.unit_rows(e - (e * a).sum(1, keepdims=True) * a)
+    b = 0.901 * a + np.sqrt(1 - 0.901**2) * e
+    for n in (1000, 50_000):
+        codes = [embeddings.CapFilters.make(64, n, meetings=embeddings.MEETINGS / embeddings.CODES, seed=k) for k in range(embeddings.CODES)]
+        pairs = zip(embeddings.decode_all(codes, a), embeddings.decode_all(codes, b), strict=True)
+        assert np.mean([len(np.intersect1d(x, y)) > 0 for x, y in pairs]) >= 0.95
+
+
 def test_no_vectors(spark):
     assert embeddings.near_vectors(vectors(spark, [])).count() == 0
 
