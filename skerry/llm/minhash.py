@@ -231,7 +231,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coordinates:
     wanted = prefix.join(lists.select("cls").distinct(), "cls", "left_semi").select("cls", F.col("rep.doc_id").alias("d"), F.col("rep.text_key").alias("t"))
     text = F.coalesce("text", F.lit(""))
     texts = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text"))
-    texts = scratch.table(texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t"))).select("cls", "text"), "texts")
+    # What is wanted grows with the documents, so it isn't broadcast at any size.
+    texts = scratch.table(texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t"))).select("cls", "text"), "texts")
     zones = scratch.table(head_zones(lists), "heads")
     stars = confirmed(zones, classes, texts, k, percent, matches, False, scratch, "star")
     components = connected_components(stars)
@@ -253,7 +254,7 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, with all its columns."""
     gone = near_duplicates(docs, k, percent).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
     gone = gone.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("t")), "left_anti")
+    return docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("t")), "left_anti")
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
