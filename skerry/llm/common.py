@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import re
 import tempfile
@@ -26,11 +28,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written once into the shared folder; losing an executor loses none of them."""
+    """Tables written once into the shared folder; losing an executor loses none of them.
+
+    What an operator's result still reads is deleted when the driver's Python ends, the rest before.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        atexit.register(self._at_end)
+
+    def _at_end(self) -> None:
+        with contextlib.suppress(Exception):  # the session may be stopped by then
+            self.drop()
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
