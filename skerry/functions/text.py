@@ -3,20 +3,19 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skerry.session import AnalyzerConfig
 
-#: Letters with marks and their bases, by Unicode's canonical decomposition; made from a rule, not listed.
-import unicodedata as _unicodedata
-
 
 def _fold_table() -> tuple[str, str]:
+    """Latin letters with marks and their bases, by Unicode's canonical decomposition."""
     marked, plain = [], []
     for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
-        parts = [x for x in _unicodedata.normalize("NFD", c) if not _unicodedata.category(x).startswith("M")]
+        parts = [x for x in unicodedata.normalize("NFD", c) if not unicodedata.category(x).startswith("M")]
         if len(parts) == 1 and parts[0] != c:
             marked.append(c)
             plain.append(parts[0])
@@ -106,6 +105,10 @@ def basename(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
 
 
+def snippet(title: Column, path: Column) -> Column:
+    return F.coalesce(F.nullif(title, F.lit("")), path)
+
+
 def display_path(path: Column, names_only: bool = False) -> Column:
     return F.regexp_replace(F.substring_index(path, "/", -1) if names_only else path, r"\.md$", "")
 
