@@ -84,14 +84,20 @@ def signatures(docs: DataFrame, k: int, coordinates: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text), text).mapInArrow(sign, "doc_id long, text_key long, n long, k1 long, k2 long, sig array<int>")
 
 
-def prefixes(classes: DataFrame, matches: int) -> DataFrame:
-    """``cls, n, keys``: the rarest postings of each class that can have enough matches."""
-    key = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("val").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-    postings = classes.select("cls", F.posexplode("sig").alias("pos", "val")).select("cls", key.alias("key"))
+def prefixes(classes: DataFrame, percent: int, matches: int) -> DataFrame:
+    """``cls, key``: the rarest postings of each class that can have enough matches.
+
+    Sets of which one has 100 / percent times the other's size at most lie in one step of sizes or in
+    neighbouring ones, so each class posts for its own step and the next, and any linked pair has a step
+    in common. Each step is a collection of its own, with its own counts.
+    """
+    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9) if percent < 100 else F.col("n")
+    stepped = classes.select("cls", "sig", F.explode(F.array(step, step + 1)).alias("step"))
+    postings = stepped.select("cls", "step", F.posexplode("sig").alias("pos", "val")).select("cls", "step", F.xxhash64("pos", "val", "step").alias("key"))
     shared = postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    met = postings.join(shared, "key").groupBy("cls").agg(F.collect_list(F.struct("df", "key")).alias("p")).where(F.size("p") >= matches)
+    met = postings.join(shared, "key").groupBy("cls", "step").agg(F.collect_list(F.struct("df", "key")).alias("p")).where(F.size("p") >= matches)
     rarest = F.slice(F.sort_array("p"), F.lit(1), F.size("p") - (matches - 1))
-    return met.select("cls", F.transform(rarest, lambda x: x["key"]).alias("keys"))
+    return met.select("cls", F.explode(F.transform(rarest, lambda x: x["key"])).alias("key"))
 
 
 def linked_rows(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -221,14 +227,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coordinates:
     signed = scratch.table(signatures(docs, k, coordinates), "signed")
     classes = signed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_key")).alias("rep"), F.first("sig").alias("sig"))
     classes = scratch.table(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    prefix = scratch.table(prefixes(classes, matches).join(classes.select("cls", "n", "rep"), "cls"), "prefix")
-    # Sets of which one has 100 / percent times the other's size at most lie in one step or in neighbouring ones.
-    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9) if percent < 100 else F.col("n")
-    posted = prefix.select("cls", F.explode("keys").alias("value"), step.alias("step"))
-    lists = posted.select("cls", F.explode(F.array(F.xxhash64("value", "step"), F.xxhash64("value", F.col("step") + 1))).alias("key"))
-    crowded = lists.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    lists = scratch.table(lists.join(crowded.select("key"), "key"), "lists")
-    wanted = prefix.join(lists.select("cls").distinct(), "cls", "left_semi").select("cls", F.col("rep.doc_id").alias("d"), F.col("rep.text_key").alias("t"))
+    posted = scratch.table(prefixes(classes, percent, matches), "posted")
+    crowded = posted.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    lists = scratch.table(posted.join(crowded.select("key"), "key"), "lists")
+    wanted = classes.join(lists.select("cls").distinct(), "cls", "left_semi").select("cls", F.col("rep.doc_id").alias("d"), F.col("rep.text_key").alias("t"))
     text = F.coalesce("text", F.lit(""))
     texts = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text"))
     # What is wanted grows with the documents, so it isn't broadcast at any size.
