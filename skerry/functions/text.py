@@ -27,8 +27,8 @@ NOT_TERM = r"[^\p{L}\p{N}'-]+"
 
 
 def fold_accents(c: Column) -> Column:
-    """Latin letters lose their marks; marks that stand alone are dropped."""
-    return F.regexp_replace(F.translate(c, MARKED, PLAIN), r"\p{M}+", "")
+    """Latin letters lose their marks; marks that stand alone are dropped. Texts of ASCII have none."""
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(F.regexp_replace(F.translate(c, MARKED, PLAIN), r"\p{M}+", ""))
 
 
 def stem(c: Column) -> Column:
@@ -47,8 +47,13 @@ def normalize_term(c: Column, config: AnalyzerConfig = AnalyzerConfig()) -> Colu
 
 
 def tokenize(c: Column, config: AnalyzerConfig = AnalyzerConfig()) -> Column:
-    """Terms of a markdown text in order. The text is folded once as a whole, then split."""
-    clean = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"[#*_`\[\]()]", " "), r"\bhttps?://\S+", " ")
+    """Terms of a markdown text in order. The text is folded once as a whole, then split.
+
+    Markdown's own signs separate terms anyway; they are taken out first only where an address could end in one.
+    """
+    text = F.coalesce(c, F.lit(""))
+    plain = F.regexp_replace(F.regexp_replace(text, r"[#*_`\[\]()]", " "), r"\bhttps?://\S+", " ")
+    clean = F.when(text.contains("://"), plain).otherwise(text)
     low = F.lower(clean)
     parts = F.split(fold_accents(low) if config.fold_accents else low, NOT_TERM)
     kept = F.filter(parts, lambda t: F.length(t) >= 2)
