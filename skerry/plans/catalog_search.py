@@ -142,7 +142,7 @@ def semantic_flags(s, d):
 
 
 def max_pair_similarity(s, d):
-    c = chunks(s, d).where("id < 40")
+    c = chunks(s, d)
     ids = c.select("id").distinct()
     pairs = ids.select(F.col("id").alias("a")).withColumn("b", F.col("a") + 1)
     return ranking.file_similarity(c, pairs, "id").select("a", "b", F.round("similarity", 6).alias("similarity"))
