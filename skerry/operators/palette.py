@@ -25,13 +25,29 @@ def keep_last(rows: DataFrame, seq: str = "seq", key: str = "id") -> DataFrame:
     return rows.withColumn("n", n).where("n = 1").drop("n")
 
 
-def sorted_items(items: DataFrame, order: tuple[str, ...] = ("pinned", "recent"), limit: int = 200) -> DataFrame:
-    """Reverse insertion order, with pinned and recent items on top; the first of them, as far as a palette shows."""
+def sorted_items(items: DataFrame, order: tuple[str, ...] = ("pinned", "recent"), slots: int = 64) -> DataFrame:
+    """Reverse insertion order, with pinned and recent items on top: every item with its 1-based place.
+
+    Places are counted in slots and shifted by the slots before, so no task sorts the whole table. A time
+    that is itself a quantile may be that of many items, as may be none; those are cut by ``seq`` as well.
+    """
     group = F.lit(len(order))
     for i, name in reversed(list(enumerate(order))):
         group = F.when(F.col("is_pinned") if name == "pinned" else F.col("last_used").isNotNull(), i).otherwise(group)
-    by = ("group", F.desc_nulls_last("last_used"), F.desc("seq"))
-    return items.withColumn("group", group).orderBy(*by).limit(limit).withColumn("place", F.row_number().over(Window.orderBy(*by)))
+    used, at = -F.unix_micros(F.col("last_used").cast("timestamp")), -F.col("seq")
+    steps = [i / slots for i in range(1, slots)]
+    q = items.agg(F.percentile_approx(used, steps, 1000).alias("used"), F.percentile_approx(at, steps, 1000).alias("at")).first()
+    times, seqs = (F.array_distinct(F.lit(list(x)) if x else F.array().cast("array<bigint>")) for x in (q.used, q["at"]))
+    below = lambda c, cuts: F.size(F.filter(cuts, lambda x: x < c))
+    time = F.when(used.isNull(), 2 * F.size(times) + 1).otherwise(below(used, times) + F.size(F.filter(times, lambda x: x <= used)))
+    seq = F.when(at.isNull(), F.size(seqs) + 1).otherwise(below(at, seqs))
+    cut = items.withColumn("group", group).withColumn("time_slot", time).withColumn("seq_slot", F.when(F.col("time_slot") % 2 == 1, seq).otherwise(0))
+    slot = ["group", "time_slot", "seq_slot"]
+    sums = cut.groupBy(*slot).agg(F.count("*").alias("c"))
+    before = sums.select(*slot, F.coalesce(F.sum("c").over(Window.orderBy(*slot).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(*slot).orderBy(F.desc_nulls_last("last_used"), F.desc_nulls_last("seq")))
+    out = cut.withColumn("n", inside).join(F.broadcast(before), slot).withColumn("place", F.col("before") + F.col("n"))  # a number of slots fixed by ``slots``
+    return out.drop("time_slot", "seq_slot", "n", "before")
 
 
 def limited(rows: DataFrame, hidden: DataFrame, limit: int = 50) -> DataFrame:

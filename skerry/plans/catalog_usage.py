@@ -187,7 +187,7 @@ def palette_sorted_items(s, d):
 
 
 def commands(s, d):
-    return palette.commands(items(s, d)).limit(25).select("id", "text")
+    return palette.commands(items(s, d)).select("id", "text")
 
 
 def pinned_items(s, d):

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import duckdb
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
+from skerry.operators import palette
 from skerry.plans.catalog import QUERIES
 
 
@@ -24,3 +27,26 @@ def test_pair_similarity_of_all_neighbours(spark, sf_dir):
     got = {(r.a, r.b): r.similarity for r in QUERIES["max_pair_similarity"](spark, sf_dir).collect()}
     assert got.keys() == expected.keys() and any(a >= 40 for a, _ in got)
     assert all(abs(got[k] - expected[k]) < 2e-6 for k in got)
+
+
+@pytest.mark.parametrize("order", [("pinned", "recent"), ("recent", "pinned"), ()])
+@pytest.mark.parametrize("times", [1, 7, 5000])
+def test_every_item_has_its_place(spark, order, times):
+    n = 3000
+    used = F.when(F.col("id") % 3 != 0, F.timestamp_seconds(F.col("id") * 7919 % times))
+    items = spark.range(n).select(F.col("id").cast("string").alias("id"), F.col("id").alias("seq"), (F.col("id") % 5 == 0).alias("is_pinned"), used.alias("last_used"))
+    got = {r.id: (r.group, r.place) for r in palette.sorted_items(items, order, slots=8).collect()}
+    rows = []
+    for i in range(n):
+        t = i * 7919 % times if i % 3 else None
+        is_in = {"pinned": i % 5 == 0, "recent": t is not None}
+        group = next((k for k, name in enumerate(order) if is_in[name]), len(order))
+        rows.append((group, t is None, -(t or 0), -i, str(i)))
+    assert got == {r[-1]: (r[0], k) for k, r in enumerate(sorted(rows), 1)}
+
+
+def test_sorted_items_and_commands_list_all(spark, sf_dir):
+    items = rows_of("SELECT CAST(p_partkey AS VARCHAR), p_name FROM part", sf_dir, "part")
+    many = "/root/testdata/sf0.01"
+    assert QUERIES["palette_sorted_items"](spark, many).count() == rows_of("SELECT count(*) FROM part", many, "part")[0][0]
+    assert [tuple(r) for r in QUERIES["commands"](spark, sf_dir).collect()] == sorted(items, key=lambda x: (x[1], x[0]), reverse=True)
