@@ -196,8 +196,7 @@ def content_density(s, d):
     n = notes(s, d)
     corpus = hybrid.Corpus(n, n, n, df=index.document_frequency(n), n_docs=n.count())
     w = hybrid.idf_of(corpus, TERMS)
-    out = n.select("id", F.round(scores.density(F.col("content"), w), 6).alias("density"))
-    return out.where("density > 0").orderBy(F.desc("density"), "id").limit(10)
+    return n.select("id", F.round(scores.density(F.col("content"), w), 6).alias("density"))
 
 
 DENSITY = f"""WITH {DF}, w AS (SELECT t, greatest(0, ln((n + 1) / (coalesce(df, 0) + 1))) AS w FROM (SELECT unnest(['{A}', '{B}']) AS t) x LEFT JOIN df ON df.term = x.t, n),

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from skerry.operators import palette
 from skerry.plans.catalog import QUERIES
+from skerry.plans.catalog_search import DF
+from skerry.plans.views import TERMS
 
 
 def rows_of(sql, sf_dir, *tables):
@@ -50,3 +52,12 @@ def test_sorted_items_and_commands_list_all(spark, sf_dir):
     many = "/root/testdata/sf0.01"
     assert QUERIES["palette_sorted_items"](spark, many).count() == rows_of("SELECT count(*) FROM part", many, "part")[0][0]
     assert [tuple(r) for r in QUERIES["commands"](spark, sf_dir).collect()] == sorted(items, key=lambda x: (x[1], x[0]), reverse=True)
+
+
+def test_density_of_every_document(spark, sf_dir):
+    df, n = (rows_of(f"WITH {DF} SELECT {x}", sf_dir, "documents") for x in ("term, df FROM df", "n FROM n"))
+    weights = {t: max(0.0, float(np.log((n[0][0] + 1) / (dict(df).get(t, 0) + 1)))) for t in TERMS}
+    texts = rows_of("SELECT doc_id, lower(text) FROM documents", sf_dir, "documents")
+    expected = {i: sum(w * min(x.count(t) / 5, 1) for t, w in weights.items()) / sum(weights.values()) for i, x in texts}
+    got = {r.id: r.density for r in QUERIES["content_density"](spark, sf_dir).collect()}
+    assert got == pytest.approx(expected, abs=2e-6) and min(got.values()) == 0
