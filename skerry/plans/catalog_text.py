@@ -90,7 +90,7 @@ def synonyms(s, d):
     from skerry.operators.index import document_frequency
 
     table_ = T.synonym_table(s, ("the=der,les", "and=und"))
-    terms = document_frequency(notes(s, d)).where("df > 200").select("term")
+    terms = document_frequency(notes(s, d)).select("term")
     return T.expand(terms, table_)
 
 

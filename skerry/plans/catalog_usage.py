@@ -230,7 +230,7 @@ def suffix_exclude(s, d):
 def link_candidates(s, d):
     e = usage.access(events(s, d)).select(F.concat(F.lit("src1/en/"), "path", F.lit(".md")).alias("path"), "last_opened")
     un = s.createDataFrame([("missing note",), ("other note",)], "target string")
-    return palette.link_candidates(notes(s, d).where("source = 'src1'"), un, "src1/en/1.md", recent=e).select("path", "is_unresolved")
+    return palette.link_candidates(notes(s, d), un, "src1/en/1.md", recent=e).select("path", "is_unresolved")
 
 
 def substring_search(s, d):

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from skerry.operators import palette
 from skerry.plans.catalog import QUERIES
 from skerry.plans.catalog_search import DF
-from skerry.plans.views import TERMS
+from skerry.plans.catalog_text import TERMS_OF_TEXT
+from skerry.plans.views import NOTES, TERMS
 
 
 def rows_of(sql, sf_dir, *tables):
@@ -61,3 +62,17 @@ def test_density_of_every_document(spark, sf_dir):
     expected = {i: sum(w * min(x.count(t) / 5, 1) for t, w in weights.items()) / sum(weights.values()) for i, x in texts}
     got = {r.id: r.density for r in QUERIES["content_density"](spark, sf_dir).collect()}
     assert got == pytest.approx(expected, abs=2e-6) and min(got.values()) == 0
+
+
+def test_link_candidates_of_all_sources(spark, sf_dir):
+    paths = {(p, False) for (p,) in rows_of(f"WITH {NOTES} SELECT path FROM notes", sf_dir, "documents")} - {("src1/en/1.md", False)}
+    got = [(r.path, r.is_unresolved) for r in QUERIES["link_candidates"](spark, sf_dir).collect()]
+    assert len(got) == len(set(got)) and set(got) == paths | {("missing note", True), ("other note", True)}
+
+
+def test_synonyms_of_all_terms(spark, sf_dir):
+    terms = {t for (t,) in rows_of(f"SELECT DISTINCT unnest({TERMS_OF_TEXT}) FROM documents", sf_dir, "documents")}
+    pairs = [("the", "der"), ("the", "les"), ("and", "und")]
+    more = {(b, a) for x in pairs for a, b in (x, x[::-1]) if a in terms}
+    got = {(r.term, r.query_term) for r in QUERIES["synonyms"](spark, sf_dir).collect()}
+    assert terms and got == {(t, t) for t in terms} | more
