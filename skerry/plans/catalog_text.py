@@ -132,7 +132,7 @@ def date_labels(s, d):
 
 
 def highlighted(s, d):
-    return notes(s, d).select("id", T.highlight(F.substring("content", 1, 120), ["the", "th"]).alias("marked"))
+    return notes(s, d).select("id", T.highlight(F.col("content"), ["the", "th"]).alias("marked"))
 
 
 def command_labels(s, d):

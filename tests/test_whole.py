@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import duckdb
 import numpy as np
 import pytest
@@ -76,3 +78,10 @@ def test_synonyms_of_all_terms(spark, sf_dir):
     more = {(b, a) for x in pairs for a, b in (x, x[::-1]) if a in terms}
     got = {(r.term, r.query_term) for r in QUERIES["synonyms"](spark, sf_dir).collect()}
     assert terms and got == {(t, t) for t in terms} | more
+
+
+def test_whole_texts_are_highlighted(spark, sf_dir):
+    texts = rows_of("SELECT doc_id, text FROM documents", sf_dir, "documents")
+    expected = {i: re.sub("(?i)(the|th)", r"<mark>\1</mark>", x) for i, x in texts}
+    got = {r.id: r.marked for r in QUERIES["highlighted"](spark, sf_dir).collect()}
+    assert got == expected and any("<mark>" in x[400:] for x in got.values())
