@@ -222,7 +222,7 @@ SELECT id, round(CASE WHEN a AND b THEN least(1, greatest(0, 1 / (1 + ln(greates
 
 
 def _corpus(s, d) -> hybrid.Corpus:
-    ranks = graph.page_rank(graph.click_edges(events(s, d)), epsilon=None, rounds=5).select(F.col("path").cast("long").alias("id"), "page_rank")
+    ranks = graph.page_rank(graph.click_edges(events(s, d)), rounds=20, epsilon=1e-4).select(F.col("path").cast("long").alias("id"), "page_rank")
     return hybrid.Corpus(metadata(s, d), chunks(s, d), _signals(s, d).join(ranks, "id", "left"))
 
 

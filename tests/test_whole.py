@@ -9,11 +9,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skerry.operators import palette
+from skerry.operators import graph, palette
+from skerry.plans import catalog_search
 from skerry.plans.catalog import QUERIES
 from skerry.plans.catalog_search import DF
 from skerry.plans.catalog_text import TERMS_OF_TEXT
-from skerry.plans.views import NOTES, TERMS
+from skerry.plans.views import NOTES, TERMS, events
 
 
 def rows_of(sql, sf_dir, *tables):
@@ -85,3 +86,10 @@ def test_whole_texts_are_highlighted(spark, sf_dir):
     expected = {i: re.sub("(?i)(the|th)", r"<mark>\1</mark>", x) for i, x in texts}
     got = {r.id: r.marked for r in QUERIES["highlighted"](spark, sf_dir).collect()}
     assert got == expected and any("<mark>" in x[400:] for x in got.values())
+
+
+def test_hybrid_ranks_are_those_of_production(spark, sf_dir):
+    ranks = graph.page_rank(graph.click_edges(events(spark, sf_dir)), rounds=20, epsilon=1e-4)
+    expected = {int(r.path): r.page_rank for r in ranks.collect()}
+    signals = catalog_search._corpus(spark, sf_dir).signals.where("page_rank is not null").collect()
+    assert signals and {r.id: r.page_rank for r in signals} == pytest.approx({r.id: expected[r.id] for r in signals}, abs=1e-9)
