@@ -68,10 +68,10 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     for e in ends.tolist():
         outside[max(0, e - ANCHOR + 1) : e] = True
     margin = ANCHOR - 1 + 2 * (w - 1)
-    for at in range(0, max(1, len(data) - LENGTH + 1), PIECE):
+    for at in range(0, max(1, len(data) - ANCHOR + 1), PIECE):
         first = max(0, at - (w - 1))
         b = data[first : at + PIECE + margin]
-        if len(b) < LENGTH:
+        if len(b) < LENGTH:  # only if all the data are shorter: a later piece begins SIDE before its range
             break
         sums = np.zeros(len(b) + 1, U)
         np.cumsum(LETTERS[b] * up[: len(b)], out=sums[1:])
