@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skerry.sources.tables import read_table
+
 NOW = "2024-02-01 00:00:00"
 QUERY = "ention anin"
 TERMS = ["ention", "anin"]
@@ -15,7 +17,7 @@ def now() -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
