@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,39 +103,60 @@ def density(content: Column, weights: dict[str, float]) -> Column:
     return sum((F.least(count(w) / 5, F.lit(1.0)) * x for w, x in weights.items()), F.lit(0.0)) / total
 
 
-def positions(content: Column, word: str) -> Column:
-    """0-based places of a word, overlaps included. Splitting finds the plain ones; a word that can overlap
-    itself is looked for at every place."""
-    low = F.lower(content)
-    overlaps = any(word.startswith(word[i:]) for i in range(1, len(word)))
-    if overlaps:
-        last = F.length(low) - len(word)
-        return F.when(last < 0, F.array().cast("array<int>")).otherwise(F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.substring(low, i + 1, F.lit(len(word))) == word))
-    parts = F.split(low, "\\Q" + word + "\\E")
-    step = lambda acc, p: F.concat(acc, F.array(F.coalesce(F.element_at(F.when(F.size(acc) > 0, acc), -1) + len(word), F.lit(0)) + F.length(p)))
-    return F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array().cast("array<int>"), step)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it; a lambda's own captures are computed
+    again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
 
+def running_sums(values: Column, chunk: int = 256) -> Column:
+    """Sums of the values up to each one. Summed in chunks, since a fold that appends copies what it has."""
+    none = F.array().cast("array<int>")
+    inner = lambda v: F.aggregate(v, F.struct(none.alias("s"), F.lit(0).alias("t")), lambda a, x: F.struct(F.concat(a["s"], F.array(a["t"] + x)).alias("s"), (a["t"] + x).alias("t")))
+    empty = F.struct(F.array().cast("array<array<int>>").alias("out"), F.lit(0).alias("t"))
+    shifted = lambda a, c: F.struct(F.concat(a["out"], F.array(F.transform(c["s"], lambda x: x + a["t"]))).alias("out"), (a["t"] + c["t"]).alias("t"))
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / chunk).cast("int")), lambda c: F.slice(v, c * chunk + 1, F.lit(chunk)))
+    whole = lambda v: F.flatten(F.aggregate(F.transform(cut(v), inner), empty, shifted)["out"])
+    return let(values, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(none))
 
-def _stretches(places: Column, size: int) -> Column:
-    return F.transform(places, lambda x: F.struct(x.alias("p"), (x + size).alias("e")))
+
+def positions(content: Column, word: str) -> Column:
+    """0-based places of a word, overlaps included. A word that can't overlap itself is found by splitting;
+    any other by cutting the text before each of its places."""
+    low, quoted = F.lower(content), "\\Q" + word + "\\E"
+    if any(word.startswith(word[i:]) for i in range(1, len(word))):
+        lengths = F.transform(F.regexp_extract_all(low, F.lit(f"(?s).(?:(?!{quoted}).)*+"), 0), F.length)
+        starts = let(running_sums(lengths), lambda s: F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0))))
+        return F.when(low.startswith(word), F.concat(F.array(F.lit(0)), starts)).otherwise(starts)
+    gaps = let(F.split(low, quoted), lambda p: F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x: F.length(x) + len(word)))
+    return F.transform(running_sums(gaps), lambda x: x - len(word))
 
 
 def covering_span(places: list[tuple[str, Column]]) -> Column:
     """The shortest stretch that holds one of each word; null if a word is missing.
 
-    For each place as the right end, the latest place at or before it of every other word.
+    One pass over all places in order, with the latest place of each word at hand: at each place, the stretch
+    from the earliest of those to the end of the word here. Of words at one place the longest comes first, so
+    the shortest sees all of them.
     """
-    ends = F.concat(*[_stretches(p, len(w)) for w, p in places])
-
-    def span(right: Column) -> Column:
-        latest = [F.array_max(F.filter(p, lambda x: x <= right["p"])) for _, p in places]
-        left = F.least(*latest) if len(latest) > 1 else latest[0]
-        whole = latest[0].isNotNull()
-        for x in latest[1:]:
-            whole = whole & x.isNotNull()
-        return F.when(whole, right["e"] - left)
-
-    return F.array_min(F.transform(ends, span))
+    longest = sorted(range(len(places)), key=lambda i: -len(places[i][0]))
+    rank = {i: r for r, i in enumerate(longest)}
+    marked = lambda r: lambda x: F.struct(x.alias("p"), F.lit(r).alias("k"))
+    marks = F.concat(*[F.transform(p, marked(rank[i])) for i, (_, p) in enumerate(places)])
+    sizes = [len(places[i][0]) for i in longest]
+    names = [f"l{r}" for r in range(len(places))]
+    start = F.struct(*[F.lit(None).cast("int").alias(n) for n in names], F.lit(None).cast("int").alias("best"))
+
+    def step(acc: Column, x: Column) -> Column:
+        latest = [F.when(x["k"] == r, x["p"]).otherwise(acc[n]) for r, n in enumerate(names)]
+        whole = F.lit(True)
+        for c in latest:
+            whole = whole & c.isNotNull()
+        size = F.element_at(F.array(*map(F.lit, sizes)), x["k"] + 1)
+        span = x["p"] + size - (F.least(*latest) if len(latest) > 1 else latest[0])
+        return F.struct(*[c.alias(n) for c, n in zip(latest, names, strict=True)], F.least(acc["best"], F.when(whole, span)).alias("best"))
+
+    return F.aggregate(F.array_sort(marks), start, step)["best"]
 
 
 def span_score(span: Column, expected: int) -> Column:
