@@ -22,35 +22,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skerry.sources.tables import read_table
+
 CHUNK = 1024
-MARKERS = r"^(?:[ \t]*>)+[ \t]?"
+#: Possessive, so that neither long rows of markers nor many lines make the matcher recurse.
+MARKERS = r"^(?:[ \t]*+>)++[ \t]?"
+QUOTED_LINE = r"(?:\A|\n)[ \t]*+>"
+RUN = r"(?:\A|\n)(\d+:)[^\n]*+(?:\n\1[^\n]*+)*+"
 
 
 def normalised(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " ")))
 
 
-def passages(lines: Column) -> Column:
-    """Runs of lines of one level without blank lines: structs of level and text."""
-    plain = F.transform(lines, lambda x: F.struct(F.regexp_count(F.regexp_extract(x, MARKERS, 0), F.lit(">")).alias("level"), F.regexp_replace(x, MARKERS, "").alias("line")))
-    plain = F.filter(F.transform(plain, lambda x, i: F.struct(x["level"].alias("level"), x["line"].alias("line"), (F.trim(x["line"]) == "").alias("blank"), i.alias("i"))), lambda x: ~x["blank"])
-    starts = F.filter(F.transform(plain, lambda x, i: F.struct(i.alias("at"), (F.get(plain, i - 1)["i"].isNull() | (F.get(plain, i - 1)["i"] != x["i"] - 1) | (F.get(plain, i - 1)["level"] != x["level"])).alias("new"))), lambda x: x["new"])
-    return F.transform(starts, lambda s, k: F.struct(F.get(plain, s["at"])["level"].alias("level"), F.array_join(F.transform(F.slice(plain, s["at"] + 1, F.coalesce(F.get(starts, k + 1)["at"], F.size(plain)) - s["at"]), lambda x: x["line"]), "\n").alias("text")))
+def passages(text: Column) -> Column:
+    """Runs of lines of one level without blank lines: structs of level and text.
+
+    Each line is tagged with its level and a run is matched by its tag as a whole, so a text costs a few
+    passes, however many lines it has.
+    """
+
+    def tag(x: Column) -> Column:
+        level, line = F.regexp_count(F.regexp_extract(x, MARKERS, 0), F.lit(">")), F.regexp_replace(x, MARKERS, "")
+        return F.when(F.trim(line) == "", F.lit("-")).otherwise(F.concat(level.cast("string"), F.lit(":"), line))
+
+    tagged = F.array_join(F.transform(F.split(text, "\n"), tag), "\n")
+    bare = lambda r: F.regexp_replace(F.regexp_replace(r, r"\A\n?\d+:", ""), r"\n\d+:", "\n")
+    return F.transform(F.regexp_extract_all(tagged, F.lit(RUN), 0), lambda r: F.struct(F.regexp_extract(r, r"\A\n?(\d+):", 1).cast("int").alias("level"), bare(r).alias("text")))
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """Each message with its quotations (level, hash), the hashes of what it says itself, and its text without quotes."""
+    """Each message with its quotations (level, hash), the hashes of what it says itself, and its text without quotes.
+
+    ``quoting`` tells whether it quotes at all. Most messages don't; their passages are what blank lines part.
+    """
     text = F.coalesce("text", F.lit(""))
-    base = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), text.alias("text"), F.xxhash64(F.col("role"), text).alias("row_key"))
-    lines = base.withColumn("lines", F.split("text", "\n")).withColumn("quoting", F.exists("lines", lambda x: x.rlike(MARKERS)))
-    # Most messages quote nothing; those are not taken apart any further than their own units.
-    cut = lines.withColumn("p", passages(F.col("lines")))
-    own_lines = F.filter("lines", lambda x: ~x.rlike(MARKERS))
-    clean = F.when(F.col("quoting"), F.trim(F.regexp_replace(F.array_join(own_lines, "\n"), r"\n{3,}", "\n\n"))).otherwise(F.col("text"))
-    quotes = F.transform(F.filter("p", lambda x: x["level"] > 0), lambda x: F.struct(x["level"].alias("level"), F.md5(normalised(x["text"]).cast("binary")).alias("h")))
-    units = F.concat(F.array(F.array_join(own_lines, "\n")), F.transform(F.filter("p", lambda x: x["level"] == 0), lambda x: x["text"]), own_lines)
-    said = F.array_distinct(F.transform(F.filter(F.transform(units, normalised), lambda x: x != ""), lambda x: F.md5(x.cast("binary"))))
-    return cut.select("conv_id", "turn", "role", "row_key", "text", clean.alias("clean"), quotes.alias("quotes"), said.alias("said"))
+    base = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), text.alias("text"), F.xxhash64(F.col("role"), text).alias("row_key"), text.rlike(QUOTED_LINE).alias("quoting"))
+    own_lines = F.filter(F.split("text", "\n"), lambda x: ~x.rlike(MARKERS))
+    body = F.array_join(own_lines, "\n")
+    clean = F.when(F.col("quoting"), F.trim(F.regexp_replace(body, r"\n{3,}", "\n\n"))).otherwise(F.col("text"))
+    cut = passages(F.col("text"))
+    quotes = F.transform(F.filter(cut, lambda x: x["level"] > 0), lambda x: F.struct(x["level"].alias("level"), F.md5(normalised(x["text"]).cast("binary")).alias("h")))
+    answering = F.concat(F.array(body), F.transform(F.filter(cut, lambda x: x["level"] == 0), lambda x: x["text"]), own_lines)
+    plain = F.concat(F.array("text"), F.split("text", r"\n(?: *+\n)++"), F.split("text", "\n"))
+    units = F.array_distinct(F.when(F.col("quoting"), answering).otherwise(plain))
+    said = F.transform(F.array_distinct(F.filter(F.transform(units, normalised), lambda x: x != "")), lambda x: F.md5(x.cast("binary")))
+    return base.select("conv_id", "turn", "role", "row_key", "quoting", "text", clean.alias("clean"), F.when(F.col("quoting"), quotes).alias("quotes"), said.alias("said"))
 
 
 def numbered(messages: DataFrame) -> DataFrame:
@@ -69,7 +86,7 @@ def linked(messages: DataFrame) -> DataFrame:
     """One row for each message: links, parent and position; ``clean`` is its text without quotes."""
     rows = parsed(messages)
     whole = rows.where("conv_id is not null and turn is not null")
-    quotes = whole.where("size(quotes) > 0").select("conv_id", "turn", "row_key", F.posexplode("quotes").alias("at", "q")).select("conv_id", "turn", "row_key", "at", "q.level", "q.h")
+    quotes = whole.where("quoting").select("conv_id", "turn", "row_key", F.posexplode("quotes").alias("at", "q")).select("conv_id", "turn", "row_key", "at", "q.level", "q.h")
     wanted = quotes.select("h").distinct()
     said = whole.select("conv_id", "turn", F.explode("said").alias("h")).join(wanted, "h", "left_semi")
     inside = said.groupBy("conv_id", "h").agg(F.min("turn").alias("origin"))
@@ -80,7 +97,7 @@ def linked(messages: DataFrame) -> DataFrame:
     best = F.max(F.when(F.col("origin").isNotNull(), F.struct((-F.col("level")).alias("l"), F.col("origin").alias("o"))))
     links = met.groupBy("conv_id", "turn", "row_key").agg(F.count("*").alias("n_quotes"), F.count("origin").alias("n_linked"), F.sum(F.coalesce("far", F.lit(False)).cast("long")).alias("n_elsewhere"), F.max("level").alias("max_level"), best.alias("best"))
     # A message that stands twice meets its links twice; its counts are those of one.
-    twice = whole.where("size(quotes) > 0").groupBy("conv_id", "turn", "row_key").agg(F.count("*").alias("times"))
+    twice = whole.where("quoting").groupBy("conv_id", "turn", "row_key").agg(F.count("*").alias("times"))
     links = links.join(twice, ["conv_id", "turn", "row_key"])
     once = lambda c: F.coalesce((F.col(c) / F.col("times")).cast("long"), F.lit(0)).alias(c)
     ordered = numbered(rows.select("conv_id", "turn", "role", "row_key", "clean"))
@@ -90,7 +107,7 @@ def linked(messages: DataFrame) -> DataFrame:
 
 
 def op5_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linked(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    out = linked(read_table(spark, sf_dir, "conversations"))
     return out.select("conv_id", "turn", "role", "position", "n_quotes", "n_linked", "n_elsewhere", "max_level", "parent_turn", "by_quote", F.length("clean").cast("long").alias("clean_chars"), F.sha2(F.col("clean").cast("binary"), 256).alias("clean_sha256"))
 
 
