@@ -4,16 +4,16 @@ Items are cut into windows of ``window`` words (a shorter item is one window). A
 its two-word shingles stand in a row, so it is enough to look where its rarest shingle is: that one is the
 prefix that the join needs, and its place in the window fixes where the window would start.
 
-1. The shingles of all documents meet those of the items, by their words; what is left are the places of
-   item shingles.
-2. Their counts order each window's shingles by rarity. A window with a shingle that no document has is
-   dropped, any other is joined by its rarest shingle, which gives the places where it would start.
-3. A window is confirmed where all its shingles stand at their places; a start before the first word or
-   an end beyond the last one finds no place to match.
+1. One pass over the documents counts the shingles that items have, as numbers: their 64-bit hashes. Counts
+   are combined inside each task, so a shingle that a third of all documents share is a row for each task.
+2. The counts order each window's shingles by rarity. A window with a shingle that no document has is
+   dropped; any other is looked for by its rarest one alone, its prefix.
+3. A second pass finds the places of prefixes. Each takes along the words around it, as far as a window can
+   reach; the place of the prefix in the window says where that would start, a start before the first
+   word or an end beyond the last one is none, and all words of the window are compared.
 
-The item side is broadcast only where Spark finds it below its threshold, and is a join with split
-partitions otherwise. A shingle that a third of all documents share is a count with map-side combining
-and one row of the item side, never a group. Texts are read where they lie and never shuffled.
+The item side is broadcast up to two million numbers (16 MB), and joined with split partitions beyond that.
+Texts are read where they lie and never shuffled.
 
 Words are runs of letters, digits and anything beyond ASCII, with A-Z lower-cased.
 
@@ -30,7 +30,8 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm.common import Scratch, checkpointed
+from skerry.llm.common import Scratch, checkpointed, sized, without_rows
+from skerry.sources.tables import read_table
 
 WINDOW = 10
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -46,10 +47,17 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, NOT_WORD), "")
 
 
-def shingles(w: Column) -> Column:
-    """Neighbouring words; none for fewer than two."""
-    pair = lambda i: F.struct(F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"))
-    return F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), pair))
+def pair_hash(w: Column, i: Column | int) -> Column:
+    return F.xxhash64(F.get(w, F.lit(i) if isinstance(i, int) else i), F.get(w, i + 1 if not isinstance(i, int) else F.lit(i + 1)))
+
+
+def hashes(w: Column) -> Column:
+    """Hashes of neighbouring words; none for fewer than two."""
+    return F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: pair_hash(w, i)))
+
+
+def word_hashes(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
 
 
 def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -63,40 +71,45 @@ def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def row_key(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
 def occurrences(docs: DataFrame, windows: DataFrame, scratch: Scratch) -> DataFrame:
     """``doc_id, text_key, start, n, w``: all places where windows (``w, words, n``) stand."""
-    alone = F.array(F.struct(F.get("words", F.lit(0)).alias("a"), F.lit(None).cast("string").alias("b")))
-    places = windows.select("w", "n", F.posexplode(F.coalesce(shingles(F.col("words")), alone)).alias("offset", "s")).select("w", "n", "offset", "s.a", "s.b")
-    vocabulary = scratch.table(places.select("a", "b").distinct().withColumn("sid", F.monotonically_increasing_id()).coalesce(1), "vocabulary")
-    places = places.join(vocabulary, places["a"].eqNullSafe(vocabulary["a"]) & places["b"].eqNullSafe(vocabulary["b"])).select("w", "n", "offset", "sid")
-    places = scratch.table(places.coalesce(1), "places")
     rows = row_key(docs).select("doc_id", "text_key", words(ascii_lower(F.col("text"))).alias("ws"))
-    pairs = rows.select("doc_id", "text_key", F.posexplode(shingles(F.col("ws"))).alias("at", "s")).select("doc_id", "text_key", "at", "s.a", "s.b")
-    hits = pairs.join(vocabulary, ["a", "b"]).select("doc_id", "text_key", "at", "sid")
-    if windows.where("n = 1").limit(1).count():  # items of one word are looked for by single words
-        single = rows.select("doc_id", "text_key", F.posexplode("ws").alias("at", "a"))
-        hits = hits.union(single.join(vocabulary.where("b is null").drop("b"), "a").select("doc_id", "text_key", "at", "sid"))
-    hits = scratch.table(hits, "hits")
-    counts = hits.groupBy("sid").agg(F.count("*").alias("df"))
-    ranked = places.join(counts, "sid", "left").groupBy("w", "n").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "sid", "offset")).alias("rarest"))
-    prefix = ranked.where("rarest.df > 0").select("w", "n", F.col("rarest.sid").alias("sid"), F.col("rarest.offset").alias("offset"))
-    prefix = scratch.table(prefix.coalesce(1), "prefix")
-    met = hits.join(prefix, "sid").select("doc_id", "text_key", (F.col("at") - F.col("offset")).alias("start"), "w", "n").where("start >= 0").distinct()
-    wanted = met.join(places.select("w", "offset", F.col("sid").alias("s")), "w").select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "start", "w", "n", (F.col("start") + F.col("offset")).alias("p"), "s")
-    there = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("text_key")) & (F.col("p") == F.col("at")) & (F.col("s") == F.col("sid"))
-    # Both sides grow with the documents, so neither is broadcast, at any size.
-    found = wanted.hint("merge").join(hits, there, "left_semi").groupBy("d", "k", "start", "w", "n").agg(F.count("*").alias("c"))
-    return found.where(F.col("c") == F.greatest(F.col("n") - 1, F.lit(1))).select(F.col("d").alias("doc_id"), F.col("k").alias("text_key"), "start", "n", "w")
+    parts = []
+    for several, of in ((True, hashes), (False, word_hashes)):
+        own = windows.where("n > 1" if several else "n = 1")
+        if not own.limit(1).count():
+            continue
+        places = scratch.table(own.select("w", F.posexplode(of(F.col("words"))).alias("offset", "h")), f"places-{several}")
+        asked = places.select("h").distinct()
+        met = rows.select(F.explode(of(F.col("ws"))).alias("h")).join(sized(asked, asked.count()), "h", "left_semi")
+        counts = scratch.table(met.groupBy("h").agg(F.count("*").alias("df")), f"counts-{several}")
+        ranked = places.join(counts, "h", "left").groupBy("w").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "offset")).alias("rarest"))
+        prefix = ranked.where("rarest.df > 0").select("w", F.col("rarest.h").alias("h"), F.col("rarest.offset").alias("offset"))
+        prefix = scratch.table(prefix.join(own, "w"), f"prefix-{several}")
+        asked = prefix.select("h").distinct()
+        found = rows.select("doc_id", "text_key", "ws", F.posexplode(of(F.col("ws"))).alias("at", "h")).join(sized(asked, asked.count()), "h", "left_semi")
+        reach = prefix.agg(F.max("n")).first()[0] or 0
+        first = F.greatest(F.col("at") - reach, F.lit(0))
+        around = found.select("doc_id", "text_key", "h", "at", first.alias("first"), F.slice("ws", first + 1, F.lit(2 * reach)).alias("around"))
+        start = F.col("at") - F.col("offset")
+        same = F.slice("around", F.greatest(start - F.col("first"), F.lit(0)) + 1, F.col("n")) == F.col("words")
+        parts.append(around.join(prefix, "h").where((start >= 0) & same).select("doc_id", "text_key", start.alias("start"), "n", "w"))
+    if not parts:
+        return docs.sparkSession.createDataFrame([], "doc_id long, text_key long, start int, n int, w long")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per row of docs: doc_id, text_key, n_words, n_hit, n_items, items (sorted ids as strings)."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    cut = scratch.table(windows_of(items, window).coalesce(1), "cut")
-    windows = scratch.table(cut.select("words", "n").distinct().withColumn("w", F.monotonically_increasing_id()).coalesce(1), "windows")
+    cut = scratch.table(windows_of(items, window), "cut")
+    windows = scratch.table(cut.select("words", "n").distinct().withColumn("w", F.monotonically_increasing_id()), "windows")
     owners = cut.join(windows, ["words", "n"]).select("w", F.col("item_id").cast("string").alias("item"))
     found = scratch.table(occurrences(docs, windows, scratch), "found")
     hit = found.select("doc_id", "text_key", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("p")).distinct().groupBy("doc_id", "text_key").agg(F.count("*").alias("n_hit"))
@@ -115,12 +128,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without a hit, with all their columns."""
-    bad = contamination(docs, items, window).where("n_hit > 0").select(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("k")), "left_anti")
+    return without_rows(docs, contamination(docs, items, window).where("n_hit > 0"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    out = contamination(read_table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
     return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
