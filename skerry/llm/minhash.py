@@ -5,7 +5,7 @@ with at least ``matches`` common postings of ``coordinates``. The join that coun
 in prefix and skip merging: postings are ordered by rarity; a posting of one document can't match; a
 document with fewer than ``matches`` others can't either; and of the rest only its rarest ones, all but
 ``matches - 1``, need be joined, since a pair with enough matches shares one of those. Candidates are
-confirmed on the full shingle sets, word by word.
+confirmed on the full shingle sets, as sets of 64-bit hashes of whole shingles.
 
 At a similarity of 0.8, 48 coordinates and 22 matches miss a linked pair with a probability below one in
 a million, less for closer ones.
@@ -39,8 +39,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm.common import Scratch, checkpointed, connected_components, small_arrow_batches
+from skerry.llm.common import Scratch, checkpointed, connected_components, local_roots, small_arrow_batches, without_rows
 from skerry.llm.shingles import U, mix, shingle_set
+from skerry.sources.tables import read_table
 
 COORDINATES, MATCHES, BLOCK = 48, 22, 256
 
@@ -63,25 +64,29 @@ def set_key(shingles: np.ndarray) -> tuple[int, int]:
     return int(one.sum(dtype=U).view(np.int64)), int(two.sum(dtype=U).view(np.int64))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    key, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+    return docs.select(key.alias("doc_id"), F.xxhash64(text).alias("text_key"), F.xxhash64(key, text).alias("row_key"), text.alias("text"))
+
+
 def signatures(docs: DataFrame, k: int, coordinates: int) -> DataFrame:
-    """``doc_id, text_key, n, k1, k2, sig`` of every row."""
+    """``doc_id, text_key, row_key, n, k1, k2, sig`` of every row; row_key and text_key tell a row's text and id."""
     small_arrow_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sig", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("row_key", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sig", pa.list_(pa.int32()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, k1, k2, sig = [], [], [], []
-            for text in batch.column(2):
+            for text in batch.column(3):
                 s = shingle_set(text.as_py(), k)
                 one, two = set_key(s)
                 n.append(len(s))
                 k1.append(one)
                 k2.append(two)
                 sig.append(signature(s, coordinates).view(np.int32) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in ((n, pa.int64()), (k1, pa.int64()), (k2, pa.int64()), (sig, pa.list_(pa.int32()))))], schema=schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, t) for c, t in ((n, pa.int64()), (k1, pa.int64()), (k2, pa.int64()), (sig, pa.list_(pa.int32()))))], schema=schema)
 
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text), text).mapInArrow(sign, "doc_id long, text_key long, n long, k1 long, k2 long, sig array<int>")
+    return keyed(docs).mapInArrow(sign, "doc_id long, text_key long, row_key long, n long, k1 long, k2 long, sig array<int>")
 
 
 def prefixes(classes: DataFrame, percent: int, matches: int) -> DataFrame:
@@ -125,24 +130,25 @@ def matching_rows(sigs: np.ndarray, sizes: np.ndarray, percent: int, matches: in
     return (count >= matches) & (100 * short >= percent * long)
 
 
-def compared(zones: DataFrame, payload: DataFrame, judge, output: str, among: bool, block: int = BLOCK) -> DataFrame:
+def compared(zones: DataFrame, payload: DataFrame, judge, output: str, among: bool, block: int = BLOCK, on: tuple[str, ...] = ("cls",)) -> DataFrame:
     """Blocks of zones of (zone, cls, component, large), with the payload of each class: large rows meet the
     others, and with ``among`` the others each other, but not within a component. judge gets the rows of a
-    pair of blocks and which pairs count, and gives a batch or nothing."""
+    pair of blocks and which pairs count, and gives a batch or nothing. on: what the payload is found by."""
     side = zones.withColumn("salt", F.xxhash64("cls"))
-    sizes = zones.groupBy("zone").agg(F.ceil(F.sum(F.col("large").cast("long")) / block).cast("int").alias("nl"), F.ceil(F.sum((~F.col("large")).cast("long")) / block).cast("int").alias("ns")).where("ns > 0" if among else "ns > 0 and nl > 0")
-    rows = side.join(sizes, "zone").withColumn("at", F.pmod("salt", F.when(F.col("large"), F.col("nl")).otherwise(F.col("ns"))).cast("int"))
+    blocks = lambda c: F.ceil(F.sum(c.cast("long")) / block).cast("int")
+    sizes = zones.groupBy("zone").agg(blocks(F.col("large")).alias("nl"), blocks(~F.col("large")).alias("ns"), (F.sum((~F.col("large")).cast("long")) > 1).alias("several")).where("ns > 0" if among else "ns > 0 and nl > 0")
+    # Written, so that the join's two sides are dealt out alike and a large zone can be split.
+    rows = side.join(checkpointed(sizes), "zone").withColumn("at", F.pmod("salt", F.when(F.col("large"), F.col("nl")).otherwise(F.col("ns"))).cast("int"))
     count = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
     as_large = F.transform(count("ns"), lambda i: F.struct(F.lit(0).alias("kind"), i.alias("i"), F.col("at").alias("j")))
     as_small = F.transform(count("nl"), lambda j: F.struct(F.lit(0).alias("kind"), F.col("at").alias("i"), j.alias("j")))
     if among:  # needless where there is one other
         again = F.transform(F.when(F.col("several"), count("ns")).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.lit(1).alias("kind"), F.least(F.col("at"), i).alias("i"), F.greatest(F.col("at"), i).alias("j")))
-        lone = zones.where(~F.col("large")).groupBy("zone").agg((F.count("*") > 1).alias("several"))
-        rows = rows.join(lone, "zone")
         as_small = F.concat(as_small, again)
-    dealt = rows.select("zone", "cls", "component", "large", F.inline(F.when(F.col("large"), as_large).otherwise(as_small)))
+    found = [*on, *(c for c in ("cls",) if c not in on)]
+    dealt = rows.select("zone", *found, "component", "large", F.inline(F.when(F.col("large"), as_large).otherwise(as_small)))
     n = int(zones.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    full = dealt.join(payload, "cls").select("zone", "kind", "i", "j", "cls", "component", "large", *[c for c in payload.columns if c != "cls"])
+    full = dealt.join(payload, list(on)).select("zone", "kind", "i", "j", "cls", "component", "large", *[c for c in payload.columns if c not in on])
     full = full.repartition(n, "zone", "kind", "i", "j").sortWithinPartitions("zone", "kind", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,18 +195,9 @@ def confirmed(zones: DataFrame, classes: DataFrame, texts: DataFrame, k: int, pe
         return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(root[own])], schema=links) if len(own) else None
 
     near = compared(zones, classes.select("cls", "n", "sig"), by_signature, "zone long, cls long", among).distinct()
-    left = scratch.table(zones.join(near, ["zone", "cls"], "left_semi"), f"{name}-near")
-    return scratch.table(compared(left, texts.select("cls", "text"), by_set, "a long, b long", among), f"{name}-links")
-
-
-def local_roots(near: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The smallest id that each row reaches within a block's links."""
-    root, big = ids.copy(), np.iinfo(np.int64).max
-    while True:
-        low = np.minimum(root, np.where(near, root[None, :], big).min(axis=1))
-        if (low == root).all():
-            return root
-        root = low
+    left = zones.join(near, ["zone", "cls"], "left_semi").join(classes.select("cls", "rep.row_key", "rep.text_key"), "cls")
+    left = scratch.table(left, f"{name}-near")
+    return scratch.table(compared(left, texts, by_set, "a long, b long", among, on=("row_key", "text_key")), f"{name}-links")
 
 
 def head_zones(lists: DataFrame) -> DataFrame:
@@ -225,16 +222,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coordinates:
     """``doc_id, text`` to ``doc_id, text_key, n_shingles, component_id``, one row for each row."""
     scratch = Scratch(docs.sparkSession, "minhash")
     signed = scratch.table(signatures(docs, k, coordinates), "signed")
-    classes = signed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_key")).alias("rep"), F.first("sig").alias("sig"))
+    classes = signed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_key", "row_key")).alias("rep"), F.first("sig").alias("sig"))
     classes = scratch.table(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     posted = scratch.table(prefixes(classes, percent, matches), "posted")
     crowded = posted.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     lists = scratch.table(posted.join(crowded.select("key"), "key"), "lists")
-    wanted = classes.join(lists.select("cls").distinct(), "cls", "left_semi").select("cls", F.col("rep.doc_id").alias("d"), F.col("rep.text_key").alias("t"))
-    text = F.coalesce("text", F.lit(""))
-    texts = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text"))
-    # What is wanted grows with the documents, so it isn't broadcast at any size.
-    texts = scratch.table(texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t"))).select("cls", "text"), "texts")
+    wanted = classes.join(lists.select("cls").distinct(), "cls", "left_semi").select("rep.row_key", "rep.text_key")
+    # What is wanted grows with the documents, so it isn't broadcast at any size. A row that stands many times is one text.
+    texts = keyed(docs).select("row_key", "text_key", "text").join(wanted.hint("merge"), ["row_key", "text_key"]).dropDuplicates(["row_key", "text_key"])
+    texts = scratch.bucketed(texts, "texts", "row_key", "text_key")
     zones = scratch.table(head_zones(lists), "heads")
     stars = confirmed(zones, classes, texts, k, percent, matches, False, scratch, "star")
     components = connected_components(stars)
@@ -254,12 +250,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coordinates:
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, with all its columns."""
-    gone = near_duplicates(docs, k, percent).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = gone.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).distinct()
-    return docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("t")), "left_anti")
+    return without_rows(docs, near_duplicates(docs, k, percent).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word shingles, as this query's contract has it."""
-    out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=2)
+    out = near_duplicates(read_table(spark, sf_dir, "documents"), k=2)
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
