@@ -12,31 +12,37 @@ the cap follows from it: two vectors at the threshold share ``MEETINGS`` filters
 they are closer. What is found is exact, what is missed is a pair without a common filter; the tests
 hold recall against brute force.
 
-Equal vectors are one class beforehand: copies count as links without being compared. A filter that
-holds very many vectors is dealt out to pairs of blocks of at most ``BLOCK`` vectors, so no task gets a
-whole hot filter and none is cut short. A pair that meets in several filters counts in the first one
-only. Links are summed to counts and local stars; no list of all pairs is made.
+Equal vectors are one class beforehand, told apart by a 128-bit digest of their bytes: copies count as
+links without being compared. A filter that holds very many vectors is dealt out to pairs of blocks of
+about ``BLOCK`` vectors, so no task gets a whole hot filter and none is cut short; a pair of blocks is a
+product of a few dozen MB. A pair that meets in several filters counts in the first one only, so each row
+takes along the filters before the one that it goes to. Links are summed to counts and local stars; no
+list of all pairs is made.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, link with
-nothing and are their own component; vectors of different lengths don't link; an empty table gives no
-rows; repeated ids are rows of their own that share a component if they are near; other columns are
-ignored.
+nothing and are their own component; vectors of different lengths don't link, whatever lengths there are;
+an empty table gives no rows; repeated ids are rows of their own, with the same or other vectors; a null id
+takes part, and a component of such rows alone has a null id, of which every row is kept; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm.common import Scratch, checkpointed, connected_components, small_arrow_batches
+from skerry.llm.common import Scratch, checkpointed, connected_components, local_roots, sized, small_arrow_batches
+from skerry.sources.tables import read_table
 
-THRESHOLD, PER_FILTER, MEETINGS, CODES, BLOCK, SEED = 0.9, 8, 16.0, 6, 4096, 20240101
+THRESHOLD, PER_FILTER, MEETINGS, CODES, BLOCK, SEED = 0.9, 8, 16.0, 6, 1024, 20240101
 
 
 def upper_tail(z: float) -> float:
@@ -74,29 +80,39 @@ class CapFilters:
         left, right = code(half), code(dim - half) if dim > half else np.zeros((m, 0))
         return CapFilters(rotation, left, right, lo / math.sqrt(half))
 
-    def decode(self, unit: np.ndarray) -> list[np.ndarray]:
-        """Sorted filter numbers of each unit vector."""
+    def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Filter numbers of all unit vectors, and whose they are: in order of vectors, then numbers."""
         turned = unit @ self.rotation
-        half, m = self.left.shape[1], len(self.left)
+        half, m, n = self.left.shape[1], len(self.left), len(unit)
         a, b = turned[:, :half] @ self.left.T, turned[:, half:] @ self.right.T
         order = np.argsort(-b, axis=1, kind="stable")
-        out = []
-        for i in range(len(unit)):
-            falling = b[i, order[i]]
-            rows = np.flatnonzero(a[i] + falling[0] >= self.height)
-            if not len(rows):
-                out.append(np.array([int(np.argmax(a[i])) * m + int(order[i, 0])], np.int64))
-                continue
-            n = np.searchsorted(-falling, a[i, rows] - self.height, "right")
-            out.append(np.sort(np.concatenate([r * m + order[i, :k] for r, k in zip(rows, n, strict=True)]).astype(np.int64)))
-        return out
+        falling = np.take_along_axis(b, order, axis=1)
+        vec, row = np.nonzero(a + falling[:, :1] >= self.height)
+        # One search for all: products lie within -1 and 1, so vectors are 4 apart.
+        line = (np.arange(n)[:, None] * 4.0 - falling).ravel()
+        count = np.searchsorted(line, vec * 4.0 + a[vec, row] - self.height, "right") - vec * m
+        count = np.maximum(count, 1)
+        whose, filters = np.repeat(vec, count), np.repeat(row * m, count)
+        filters = filters + order[whose, np.arange(len(whose)) - np.repeat(np.cumsum(count) - count, count)]
+        lost = np.setdiff1d(np.arange(n), vec)  # without any: the nearest direction
+        whose, filters = np.concatenate((whose, lost)), np.concatenate((filters, a[lost].argmax(axis=1) * m + order[lost, 0]))
+        by = np.lexsort((filters, whose))
+        return filters[by], whose[by]
+
+
+@lru_cache(maxsize=64)
+def codes_for(dim: int, vectors: int, threshold: float, meetings: float, per_filter: int) -> list[CapFilters]:
+    """The same in every task, for they are made from seeds."""
+    return [CapFilters.make(dim, vectors, threshold, meetings / CODES, per_filter, SEED + k * 1_000_003) for k in range(CODES)]
 
 
 def decode_all(codes: list[CapFilters], unit: np.ndarray) -> list[np.ndarray]:
     """Sorted filter numbers over several codes, which follow each other."""
     parts = [c.decode(unit) for c in codes]
     size = len(codes[0].left) ** 2
-    return [np.concatenate([p[i] + k * size for k, p in enumerate(parts)]) for i in range(len(unit))]
+    filters, whose = np.concatenate([f + k * size for k, (f, _) in enumerate(parts)]), np.concatenate([w for _, w in parts])
+    by = np.argsort(whose, kind="stable")
+    return np.split(filters[by], np.searchsorted(whose[by], np.arange(1, len(unit)))) if len(unit) else []
 
 
 def matrix(column: pa.ListArray) -> np.ndarray:
@@ -109,19 +125,10 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def local_roots(near: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The smallest id that each row reaches within a block's links."""
-    root = ids.copy()
-    big = np.iinfo(np.int64).max
-    while True:
-        low = np.minimum(root, np.where(near, root[None, :], big).min(axis=1))
-        if (low == root).all():
-            return root
-        root = low
-
-
 def compare(ids: np.ndarray, sizes: np.ndarray, unit: np.ndarray, lists: list[np.ndarray], side: np.ndarray, here: int, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows with links in one filter or pair of its blocks: id, linked vectors not counted elsewhere, local root."""
+    if not len(side) > 1 or not same and (side == side[0]).all():
+        return ids[:0], sizes[:0], ids[:0]
     near = unit @ unit.T >= threshold
     np.fill_diagonal(near, False)
     if not same:  # pairs within a block belong to that block's own comparison
@@ -146,78 +153,104 @@ def valid(vector) -> F.Column:
     return vector.isNotNull() & (F.size(vector) > 0) & ~bad & F.exists(vector, lambda x: x != 0)
 
 
+def digests(vectors: DataFrame) -> DataFrame:
+    """``vec_id, embedding, key``: the key is null for what links with nothing. Vectors become doubles or stay floats."""
+    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
+    kind = kind if kind in ("float", "double") else "double"
+    v = F.col("embedding").cast(f"array<{kind}>")
+    schema = pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32() if kind == "float" else pa.float64())), ("key", pa.binary())])
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [hashlib.blake2b(x.values.to_numpy(zero_copy_only=False).tobytes(), digest_size=16).digest() if ok else None for x, ok in zip(batch.column(1), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(schema.field(1).type), pa.array(keys, pa.binary())], schema=schema)
+
+    return vectors.select(F.col("vec_id").cast("long"), v, valid(v)).mapInArrow(digest, f"vec_id long, embedding array<{kind}>, key binary")
+
+
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, meetings: float = MEETINGS, per_filter: int = PER_FILTER, block: int = BLOCK) -> DataFrame:
     """``vec_id, embedding`` to ``vec_id, n_links, component_id``."""
     spark = vectors.sparkSession
-    small_arrow_batches(spark, "8m")
+    small_arrow_batches(spark)
     scratch = Scratch(spark, "embeddings")
-    v = F.col("embedding")
-    # vec_id may repeat, so classes are told apart by their vectors alone.
-    keyed = vectors.select("vec_id", v, valid(v).alias("ok")).withColumns({"k1": F.when(F.col("ok"), F.xxhash64(v, F.lit(1))), "k2": F.when(F.col("ok"), F.xxhash64(v, F.lit(2)))})
+    keyed = digests(vectors)
     keys = scratch.table(keyed.drop("embedding"), "keys")
-    classes = keyed.where("ok").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("embedding").alias("embedding"))
-    classes = scratch.table(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    counts = {r.d: r.n for r in classes.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).collect()}
-    filters = {d: [CapFilters.make(d, n, threshold, meetings / CODES, per_filter, SEED + k * 1_000_003) for k in range(CODES)] for d, n in counts.items()}
-    schema = pa.schema([("cls", pa.int64()), ("filters", pa.list_(pa.int64()))])
+    # vec_id may repeat, so classes are told apart by their vectors alone.
+    classes = keyed.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("embedding").alias("embedding"))
+    classes = scratch.table(classes.withColumn("cls", F.monotonically_increasing_id()).withColumn("d", F.size("embedding")), "classes")
+    counts = classes.groupBy("d").agg(F.count("*").alias("vectors"))
+    schema = pa.schema([("cls", pa.int64()), ("d", pa.int32()), ("filters", pa.list_(pa.int64()))])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = batch.column(2).to_numpy()
+            sizes = batch.column(1).to_numpy()
             for d in np.unique(sizes):
                 own = batch.filter(pa.array(sizes == d))
-                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(decode_all(filters[int(d)], unit_rows(matrix(own.column(1)))), pa.list_(pa.int64()))], schema=schema)
-
-    decoded = classes.select("cls", "embedding", F.size("embedding").alias("d"))
-    decoded = scratch.table(decoded.mapInArrow(decode, "cls long, filters array<long>"), "filters")
-    posted = decoded.join(classes.select("cls", "size", "embedding"), "cls")
-    posted = posted.withColumn("d", F.size("embedding")).withColumn("f", F.explode("filters"))
-    held = scratch.table(decoded.join(classes.select("cls", F.size("embedding").alias("d")), "cls").withColumn("f", F.explode("filters")).groupBy("d", "f").agg(F.count("*").alias("n")).where("n > 1"), "held")
+                codes = codes_for(int(d), own.column(3)[0].as_py(), threshold, meetings, per_filter)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(decode_all(codes, unit_rows(matrix(own.column(2)))), pa.list_(pa.int64()))], schema=schema)
+
+    # As many rows as there are lengths; joined by split partitions if that is very many.
+    counts = scratch.table(counts, "lengths")
+    decoded = classes.join(sized(counts, counts.count()), "d").select("cls", "d", "embedding", "vectors")
+    decoded = scratch.table(decoded.mapInArrow(decode, "cls long, d int, filters array<long>"), "filters")
+    each = decoded.select("cls", "d", F.posexplode("filters").alias("at", "f"))
+    held = scratch.table(each.groupBy("d", "f").agg(F.count("*").alias("n")).where("n > 1"), "held")
     blocks = F.ceil(F.col("n") / block).cast("int")
-    dealt = posted.join(held, ["d", "f"]).withColumn("side", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("d", "f", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "cls", "size", "side", "filters", "embedding")
+    # Numbers are dealt out first; only what goes to a filter that holds others gets its vector.
+    dealt = each.join(held, ["d", "f"]).withColumn("side", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("d", "f", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "cls", "side", "at")
+    payload = classes.select("cls", "size", "embedding").join(decoded.select("cls", "filters"), "cls")
+    dealt = dealt.join(payload, "cls").select("d", "f", "i", "j", "cls", "size", "side", F.slice("filters", F.lit(1), F.col("at")).alias("filters"), "embedding")
     found = pa.schema([("cls", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in order of their filter and pair of blocks; those of one may go on in the next batch."""
         held_key, kept = None, []
 
-        def closed() -> pa.RecordBatch | None:
-            rows = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
-            if len(rows) < 2:
-                return None
-            lists = [np.asarray(x.values) for x in rows.column("filters")]
-            out = compare(rows.column("cls").to_numpy(), rows.column("size").to_numpy(), unit_rows(matrix(rows.column("embedding"))), lists, rows.column("side").to_numpy(), held_key[1], threshold, held_key[2] == held_key[3])
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=found) if len(out[0]) else None
+        def closed() -> tuple[np.ndarray, ...]:
+            cls, size, side, unit = (np.concatenate([k[i] for k in kept]) for i in range(4))
+            lists = [x for k in kept for x in k[4]]
+            return compare(cls, size, unit, lists, side, held_key[1], threshold, held_key[2] == held_key[3])
 
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(4)])
+            cls, size, side = (batch.column(c).to_numpy() for c in ("cls", "size", "side"))
+            ends, values = batch.column("filters").offsets.to_numpy(), batch.column("filters").values.to_numpy()
+            lists = [values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            out: list[tuple[np.ndarray, ...]] = []
+            at, unit = 0, np.empty((0, 0))
             for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(batch)], strict=True):
                 key = tuple(int(x) for x in keys[:, a])
+                if a >= at + len(unit):  # the units of all rows of this length
+                    at, many = a, int(np.searchsorted(keys[0, a:], keys[0, a], "right"))
+                    unit = unit_rows(matrix(batch.column("embedding").slice(a, many)))
                 if key != held_key and kept:
-                    if (out := closed()) is not None:
-                        yield out
+                    if sum(len(k[0]) for k in kept) > 1:
+                        out.append(closed())
                     kept = []
                 held_key = key
-                kept.append(batch.slice(a, b - a))
-        if kept and (out := closed()) is not None:
-            yield out
+                kept.append((cls[a:b], size[a:b], side[a:b], unit[a - at : b - at], lists[a:b]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], schema=found)
+        if sum(len(k[0]) for k in kept) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in closed()], schema=found)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pairs = dealt.repartition(n, "d", "f", "i", "j").sortWithinPartitions("d", "f", "i", "j").mapInArrow(verify, "cls long, links long, root long")
     pairs = scratch.table(pairs, "pairs")
     links = pairs.groupBy("cls").agg(F.sum("links").alias("links"))
     components = connected_components(pairs.select(F.col("cls").alias("a"), F.col("root").alias("b")))
-    named = classes.select("cls", "k1", "k2", "size", "rep").join(links, "cls", "left").join(components.withColumnRenamed("node", "cls"), "cls", "left")
+    named = classes.select("cls", "key", "size", "rep").join(links, "cls", "left").join(components.withColumnRenamed("node", "cls"), "cls", "left")
     named = named.withColumn("component", F.coalesce("component", "cls"))
     lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(lowest, "component").select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component_id")
-    out = keys.join(named, ["k1", "k2"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    named = named.join(lowest, "component").select("key", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component_id")
+    out = keys.join(named, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     out = checkpointed(out)
     scratch.drop()
     return out
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    out = near_vectors(read_table(spark, sf_dir, "embeddings"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
