@@ -22,8 +22,10 @@ Copies of a whole text are found by their hashes beforehand and take no part: wh
 repeats the first of them. An anchor of a very frequent passage costs a bucket one entry for each group
 of texts and surrounding, not one for each document.
 
-Texts are shuffled once; all three steps read that one exchange. The hashes only propose: step 2 compares
-bytes.
+Texts are shuffled once; all three steps read that one exchange. Groups hold ``GROUP_BYTES`` of text each and
+there is a bucket for each ``BUCKET_BYTES``, so what a task holds stays alike in any corpus. Where anchors
+stand never leaves a group: the last step chooses them again. Anchors only propose: step 2 compares bytes.
+Whole copies are told by their length and two 64-bit hashes.
 
 Defined cases: a null text is empty; a text shorter than the length loses nothing; rows that share a key
 take nothing from each other; a null key loses nothing and takes nothing from others; an empty table
@@ -33,6 +35,8 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +46,9 @@ from pyspark.sql import functions as F
 
 from skerry.llm.common import document_columns, small_arrow_batches
 from skerry.llm.shingles import BASE, BASE_INVERSE, LETTERS, U, mix, powers
+from skerry.sources.tables import read_table
 
-LENGTH, ANCHOR, PIECE, GROUPS_PER_PARTITION = 50, 25, 1 << 16, 4
+LENGTH, ANCHOR, PIECE, GROUP_BYTES, BUCKET_BYTES = 50, 25, 1 << 16, 5 << 19, 10 << 20
 SIDE = LENGTH - ANCHOR
 NONE = np.iinfo(np.int64).max
 
@@ -259,11 +264,13 @@ def answer_lists(key: tuple, lists: pa.Table) -> pa.Table:
     return pa.table({"g": lists.column("g"), "b": lists.column("b"), "mask": pa.array(masks, pa.binary())})
 
 
-def surroundings(key: tuple, docs: pa.Table, told: pa.Table, buckets: int) -> pa.Table:
-    """Step 2, in a group: the distinct surroundings of repeated anchors, and where they stand."""
-    schema = pa.schema([("b", pa.int64()), ("g", pa.int64()), ("h", pa.binary()), ("keys", pa.binary()), ("around", pa.binary()), ("sides", pa.binary()), ("entry", pa.binary()), ("place", pa.binary()), ("own", pa.binary())])
-    _, ids, starts, data = laid_out(docs, told.filter(pc.is_valid(told.column("doc_id"))))
-    masks = {b.as_py(): m for b, m in zip(told.column("b"), told.column("mask"), strict=True) if m.is_valid}
+def repeated_anchors(docs: pa.Table, told: pa.Table, buckets: int) -> tuple[Iterator[tuple[int, dict[str, np.ndarray]]], tuple[np.ndarray, ...]]:
+    """For each bucket the distinct surroundings of this group's repeated anchors, with the least key of each,
+    and where they stand; and the group as it is laid out. The same whenever it is asked for."""
+    copies, answers = told.filter(pc.is_valid(told.column("doc_id"))), told.filter(pc.is_valid(told.column("mask")))
+    laid = laid_out(docs, copies)
+    _, ids, starts, data = laid
+    masks = dict(zip(answers.column("b").to_pylist(), answers.column("mask"), strict=True))
     ends = np.append(starts[1:], len(data)) if len(starts) else starts
     places, hashes = anchors(data, ends)
     bucket = hashes % U(buckets)
@@ -276,22 +283,38 @@ def surroundings(key: tuple, docs: pa.Table, told: pa.Table, buckets: int) -> pa
     left = np.minimum(places - starts[text], SIDE) if len(places) else places
     right = np.minimum(ends[text] - places - ANCHOR, SIDE) if len(places) else places
     padded = np.concatenate((np.zeros(SIDE, np.uint8), data, np.zeros(SIDE + ANCHOR, np.uint8)))
-    rows: list[tuple] = []
-    for b, own in split(bucket):
-        p, lo, hi = places[own], left[own], right[own]
-        around = np.lib.stride_tricks.sliding_window_view(padded, LENGTH + SIDE)[p].copy()
-        cols = np.arange(LENGTH + SIDE)
-        around[(cols < SIDE - lo[:, None]) | (cols >= SIDE + ANCHOR + hi[:, None])] = 0
-        whole = np.concatenate((hashes[own].astype(">u8").view(np.uint8).reshape(-1, 8), around, lo[:, None].astype(np.uint8), hi[:, None].astype(np.uint8)), axis=1)
-        sort = np.lexsort([ids[text[own]], *reversed(words_of(whole))])
-        s = whole[sort]
-        new = np.concatenate(([True], (s[1:] != s[:-1]).any(axis=1)))
-        at = sort[new]  # of equal ones that with the least key
-        entry = np.cumsum(new) - 1
-        rows.append((b, key[0].as_py(), hashes[own][at].astype("<u8").tobytes(), ids[text[own]][at].astype("<i8").tobytes(), around[at].tobytes(), np.stack((lo[at], hi[at])).astype(np.uint8).tobytes(), entry.astype("<u4").tobytes(), p[sort].astype("<u8").tobytes(), (ids[text[own]][sort] > ids[text[own]][at][entry]).tobytes()))
+
+    def each() -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+        for b, own in split(bucket):
+            p, lo, hi, key = places[own], left[own], right[own], ids[text[own]]
+            around = np.lib.stride_tricks.sliding_window_view(padded, LENGTH + SIDE)[p].copy()
+            cols = np.arange(LENGTH + SIDE)
+            around[(cols < SIDE - lo[:, None]) | (cols >= SIDE + ANCHOR + hi[:, None])] = 0
+            whole = np.concatenate((hashes[own].astype(">u8").view(np.uint8).reshape(-1, 8), around, lo[:, None].astype(np.uint8), hi[:, None].astype(np.uint8)), axis=1)
+            sort = np.lexsort([key, *reversed(words_of(whole))])
+            s = whole[sort]
+            new = np.concatenate(([True], (s[1:] != s[:-1]).any(axis=1)))
+            at = sort[new]  # of equal ones that with the least key
+            entry = np.cumsum(new) - 1
+            yield b, {"h": hashes[own][at], "keys": key[at], "around": around[at], "sides": np.stack((lo[at], hi[at])), "entry": entry, "place": p[sort], "later": key[sort] > key[at][entry]}
+
+    return each(), laid
+
+
+def surroundings(key: tuple, docs: pa.Table, told: pa.Table, buckets: int) -> pa.Table:
+    """Step 2, in a group: the distinct surroundings of repeated anchors. Where they stand stays in the group."""
+    schema = pa.schema([("b", pa.int64()), ("g", pa.int64()), ("h", pa.binary()), ("keys", pa.binary()), ("around", pa.binary()), ("sides", pa.binary())])
+    each, _ = repeated_anchors(docs, told, buckets)
+    rows = [(b, key[0].as_py(), x["h"].astype("<u8").tobytes(), x["keys"].astype("<i8").tobytes(), x["around"].tobytes(), x["sides"].astype(np.uint8).tobytes()) for b, x in each]
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else schema.empty_table()
 
 
+def windows_inside(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Bits of the windows that lie in the text."""
+    j = np.arange(SIDE + 1)
+    return ((left[:, None] >= SIDE - j) & (right[:, None] >= j)) @ (1 << j)
+
+
 def judge_bucket(key: tuple, lists: pa.Table) -> pa.Table:
     """Step 2, in a bucket: for each place the windows to cut out."""
     num = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in lists.column(name)]
@@ -300,28 +323,24 @@ def judge_bucket(key: tuple, lists: pa.Table) -> pa.Table:
     around = np.concatenate([x.reshape(-1, LENGTH + SIDE) for x in num("around", np.uint8)])
     sides = np.concatenate(sides, axis=1)
     bits = earlier_windows(np.concatenate(hs), np.concatenate(num("keys", "<i8")), around, sides[0], sides[1])
-    j = np.arange(SIDE + 1)
-    inside = ((sides[0][:, None] >= SIDE - j) & (sides[1][:, None] >= j)) @ (1 << j)
-    out, at = [], 0
-    for h, entry, own in zip(hs, num("entry", "<u4"), num("own", bool), strict=True):
-        mask = np.where(own, inside[at : at + len(h)][entry], bits[at : at + len(h)][entry]).astype("<u4")
-        out.append(mask.tobytes())
-        at += len(h)
-    return pa.table({"g": lists.column("g"), "place": lists.column("place"), "bits": pa.array(out, pa.binary())})
+    cut = np.cumsum([len(h) for h in hs])[:-1]
+    return pa.table({"g": lists.column("g"), "b": lists.column("b"), "bits": pa.array([x.astype("<u4").tobytes() for x in np.split(bits, cut)], pa.binary())})
 
 
-def cut_out(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
+def cut_out(key: tuple, docs: pa.Table, told: pa.Table, buckets: int) -> pa.Table:
     """Step 3: what is left of a group's texts."""
     copies = told.filter(pc.is_valid(told.column("doc_id")))
-    rows, _, starts, data = laid_out(docs, copies)
+    judged = told.filter(pc.is_valid(told.column("bits")))
+    answers = dict(zip(judged.column("b").to_pylist(), judged.column("bits"), strict=True))
+    each, (rows, _, starts, data) = repeated_anchors(docs, told, buckets)
     change = np.zeros(len(data) + 1, np.int32)
-    for p, b in zip(told.column("place"), told.column("bits"), strict=True):
-        if p.is_valid:
-            place, bits = np.frombuffer(p.as_buffer(), "<u8").astype(np.int64), np.frombuffer(b.as_buffer(), "<u4")
-            for j in range(SIDE + 1):
-                from_ = place[(bits >> np.uint32(j)) & np.uint32(1) == 1] - SIDE + j
-                np.add.at(change, from_, 1)
-                np.add.at(change, from_ + LENGTH, -1)
+    for b, x in each:
+        own = np.frombuffer(answers[b].as_buffer(), "<u4")
+        bits = np.where(x["later"], windows_inside(*x["sides"])[x["entry"]], own[x["entry"]]).astype(np.uint32)
+        for j in range(SIDE + 1):
+            from_ = x["place"][(bits >> np.uint32(j)) & np.uint32(1) == 1] - SIDE + j
+            np.add.at(change, from_, 1)
+            np.add.at(change, from_ + LENGTH, -1)
     gone = np.cumsum(change[:-1]) > 0
     cut = dict(zip(rows.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(data)], strict=True), strict=True)) if len(rows) else {}
     whole = set(copies.column("doc_id").to_pylist())
@@ -347,8 +366,9 @@ def remove_repeats(docs: DataFrame, groups: int | None = None, buckets: int | No
     """``doc_id, text`` to ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` (the bytes left)."""
     spark = docs.sparkSession
     small_arrow_batches(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups, buckets = groups or n * GROUPS_PER_PARTITION, buckets or n
+    if not (groups and buckets):
+        total = document_columns(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        groups, buckets = groups or 1 + total // GROUP_BYTES, buckets or 1 + total // BUCKET_BYTES
     laid = document_columns(docs).withColumn("g", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))), F.lit(groups)))
     signed = document_columns(docs).select("doc_id", F.octet_length("text").alias("n"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2")).where(f"n >= {LENGTH} and doc_id is not null")
     first = signed.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
@@ -357,14 +377,13 @@ def remove_repeats(docs: DataFrame, groups: int | None = None, buckets: int | No
     odd = signed.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     copies = copies.join(odd, "doc_id", "left_anti")
     by_group = lambda df: df.groupBy("g")
+    told = lambda *parts: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*parts, copies.select("g", "doc_id")])
     lists = by_group(laid).cogroup(by_group(copies)).applyInArrow(lambda key, a, b: anchor_lists(key, a, b, buckets), "b long, g long, h binary, again binary")
     masks = lists.groupBy("b").applyInArrow(answer_lists, "g long, b long, mask binary")
-    told = masks.select("g", "b", "mask", F.lit(None).cast("long").alias("doc_id")).unionByName(copies.select("g", F.lit(None).cast("long").alias("b"), F.lit(None).cast("binary").alias("mask"), "doc_id"))
-    around = by_group(laid).cogroup(by_group(told)).applyInArrow(lambda key, a, b: surroundings(key, a, b, buckets), "b long, g long, h binary, keys binary, around binary, sides binary, entry binary, place binary, own binary")
-    judged = around.groupBy("b").applyInArrow(judge_bucket, "g long, place binary, bits binary")
-    told = judged.select("g", "place", "bits", F.lit(None).cast("long").alias("doc_id")).unionByName(copies.select("g", F.lit(None).cast("binary").alias("place"), F.lit(None).cast("binary").alias("bits"), "doc_id"))
-    return by_group(laid).cogroup(by_group(told)).applyInArrow(cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    around = by_group(laid).cogroup(by_group(told(masks))).applyInArrow(lambda key, a, b: surroundings(key, a, b, buckets), "b long, g long, h binary, keys binary, around binary, sides binary")
+    judged = around.groupBy("b").applyInArrow(judge_bucket, "g long, b long, bits binary")
+    return by_group(laid).cogroup(by_group(told(judged, masks))).applyInArrow(lambda key, a, b: cut_out(key, a, b, buckets), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+    return remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
