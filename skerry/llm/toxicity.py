@@ -8,30 +8,34 @@ that only happens to stand in toxic sentences so shares its weight with names th
 mentions stay clean.
 
 It is fitted on the driver from a bounded sample: at most ``MAX_TOXIC`` and ``MAX_CLEAN`` labelled rows,
-those with the smallest hashes of their keys, weighted back to the proportions among all labels.
-Scoring reads every whole text.
-
-Defined cases: a null or empty text, or one of unknown words, gets the score of the prior; repeated
-rows repeat their scores; an empty table gives none; without labels of both classes every score is the
-prior (0.5 for no labels at all, which counts as not toxic: see ``score``); conflicting labels of a
-document count as toxic; other columns are ignored by the query.
+those with the smallest hashes of their keys, and of these the first whose words come to ``MAX_WORDS``
+together; they are weighted back to the proportions among all labels. All swaps of the sample count; there
+are only so many different ones, so a document's are kept as counts. Scoring reads every whole text.
+
+Defined cases: a null or empty text, or one of unknown words, gets the score of the model's bias; repeated
+rows repeat their scores; of rows that share a labelled key one is learnt from; an empty table gives none;
+without labels of both classes every score is (toxic + 1/2) / (labels + 3/2), which is one third without any;
+conflicting labels of a document count as toxic; a doc_id is a whole number or can be cast to one; other
+columns, whatever their names, are ignored by the query and kept by ``keep_clean``.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skerry.llm.common import document_columns, small_arrow_batches
+from skerry.sources.tables import read_table
 
-BUCKETS, MAX_TOXIC, MAX_CLEAN, FOLDS = 1 << 18, 4000, 8000, 5
+BUCKETS, MAX_TOXIC, MAX_CLEAN, MAX_WORDS, FOLDS = 1 << 18, 4000, 8000, 20_000_000, 5
 WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
 
@@ -56,18 +60,18 @@ def features(text: str) -> set[str]:
     return set(WORD.findall(text.lower()))
 
 
-def swaps(text: str, terms: dict[str, tuple[str, ...]], most: int = 64) -> list[tuple[list[int], list[int]]]:
-    """For sentences that name a group: buckets that a swap takes away, and those that it adds."""
-    out = []
+def swaps(text: str, terms: dict[str, tuple[str, ...]]) -> Counter[tuple[int, int]]:
+    """For all sentences that name a group: the bucket that a swap takes away and the one that it adds, counted."""
+    out: Counter[tuple[int, int]] = Counter()
     low = text.lower()
     if not terms.keys() & set(WORD.findall(low)):
         return out
     for sentence in SENTENCE.split(low):
         words = set(WORD.findall(sentence))
-        for w in sorted(words & terms.keys()):
+        for w in words & terms.keys():
             for other in terms[w]:
-                if other not in words and len(out) < most:
-                    out.append(([bucket(w)], [bucket(other)]))
+                if other not in words:
+                    out[bucket(w), bucket(other)] += 1
     return out
 
 
@@ -95,12 +99,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def fit(rows: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray, pairs: list[tuple[list[int], list[int]]], ridge: float = 0.3, counterfactual: float = 4.0, steps: int = 250, smooth: float = 1.0) -> Model:
-    """rows: distinct buckets of each document; pairs: what each swap takes away and adds."""
-    total = float(weight.sum())
-    prior = float((weight * toxic).sum() / total) if total else 0.0
+def fit(rows: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray, pairs: list[tuple[int, int, int]], ridge: float = 0.3, counterfactual: float = 4.0, steps: int = 250, smooth: float = 1.0) -> Model:
+    """rows: distinct buckets of each document; pairs: what each swap takes away and adds, and how often."""
+    total, ones = float(weight.sum()), float((weight * toxic).sum())
+    prior = ones / total if total else 0.0
     if not 0 < prior < 1:
-        return Model(np.zeros(BUCKETS, np.float32), 4.0 if prior == 1 else -4.0)
+        return Model(np.zeros(BUCKETS, np.float32), float(np.log((ones + 0.5) / (total - ones + 1))))
+    seen = np.bincount(np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int64), minlength=BUCKETS)
+    rows = [r[seen[r] >= 3] for r in rows]  # rarer ones have no ratio, so no weight
     lens = np.array([len(r) for r in rows])
     idx = np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int64)
     row = np.repeat(np.arange(len(rows)), lens)
@@ -109,10 +115,9 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray, pairs: li
     count = lambda v: np.bincount(idx, v[row], n)
     p, q = count(weight * toxic) + smooth, count(weight * (1 - toxic)) + smooth
     ratio = np.log(p / (weight * toxic).sum()) - np.log(q / (weight * (1 - toxic)).sum())
-    seen = np.bincount(idx, minlength=n)
-    ratio[seen < 3] = 0
     place = {int(b): i for i, b in enumerate(used)}
-    gone = np.array([(place.get(a[0], -1), place.get(b[0], -1)) for a, b in pairs], np.int64).reshape(-1, 2)
+    gone = np.array([(place.get(a, -1), place.get(b, -1)) for a, b, _ in pairs], np.int64).reshape(-1, 2)
+    times = np.array([c for _, _, c in pairs], float)
     w, b = np.zeros(n), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros(n), np.zeros(n), 0.0, 0.0
     padded = lambda w: np.append(w * ratio, 0.0)
@@ -122,7 +127,7 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray, pairs: li
         dw = count(g) * ratio + ridge * w / total
         if len(gone):
             change = padded(w)[gone[:, 0]] - padded(w)[gone[:, 1]]
-            d = 2 * counterfactual * change / len(gone)
+            d = 2 * counterfactual * change * times / times.sum()
             at = np.bincount(gone[:, 0][gone[:, 0] >= 0], d[gone[:, 0] >= 0], n) - np.bincount(gone[:, 1][gone[:, 1] >= 0], d[gone[:, 1] >= 0], n)
             dw += at * ratio
         db = float(g.sum())
@@ -140,32 +145,39 @@ def held_out(key: str = "doc_id"):
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(FOLDS)) == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_words: int = MAX_WORDS) -> Model:
     """Fit on labelled rows outside the held-out fold; ``docs`` has doc_id and text, ``labels`` doc_id and toxic."""
     small_arrow_batches(docs.sparkSession)
+    labels = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") >= 1).cast("int").alias("toxic")).where(~held_out())
     order = known.withColumn("h", F.xxhash64(F.lit("toxicity"), "doc_id"))
     # Both samples are bounded by parameters, so is what is broadcast and collected.
-    some = order.where("toxic = 1").orderBy("h", "doc_id").limit(max_toxic).union(order.where("toxic = 0").orderBy("h", "doc_id").limit(max_clean)).select("doc_id", "toxic")
+    some = order.where("toxic = 1").orderBy("h", "doc_id").limit(max_toxic).union(order.where("toxic = 0").orderBy("h", "doc_id").limit(max_clean)).select("doc_id", "toxic", "h")
     sizes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     terms = swap_table()
-    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("buckets", pa.binary()), ("swaps", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("h", pa.int64()), ("words", pa.int64()), ("buckets", pa.binary()), ("swaps", pa.binary())])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, changed = [], []
             for text in batch.column(1).to_pylist():
-                found.append(np.array(sorted({bucket(w) for w in features(text)}), "<i4").tobytes())
-                changed.append(np.array([(a[0], b[0]) for a, b in swaps(text, terms)], "<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary()), pa.array(changed, pa.binary())], schema=schema)
-
-    rows = document_columns(docs).join(F.broadcast(some), "doc_id").mapInArrow(extract, "doc_id long, toxic int, buckets binary, swaps binary")
-    got = sorted(rows.collect(), key=lambda r: (r.doc_id, r.buckets))
+                found.append(np.array(sorted({bucket(w) for w in features(text)}), "<i4"))
+                changed.append(np.array([(a, b, n) for (a, b), n in sorted(swaps(text, terms).items())], "<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(map(len, found), pa.int64()), pa.array([f.tobytes() for f in found], pa.binary()), pa.array(changed, pa.binary())], schema=schema)
+
+    rows = document_columns(docs).join(F.broadcast(some), "doc_id").mapInArrow(extract, "doc_id long, toxic int, h long, words long, buckets binary, swaps binary")
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("h", "words", "buckets", "swaps", "toxic")).alias("r")).select("doc_id", "r.*")
+    # The sample's size is bounded, so this window is too.
+    so_far = F.sum("words").over(Window.orderBy("h", "doc_id"))
+    got = sorted(one.withColumn("so_far", so_far).where(F.col("so_far") <= max_words).drop("so_far").collect(), key=lambda r: r.doc_id)
     toxic = np.array([r.toxic for r in got], float)
     each = {k: sizes.get(k, 0) / max(1, int((toxic == k).sum())) for k in (0, 1)}
     weight = np.array([each[int(t)] for t in toxic]) if len(got) else np.empty(0)
-    pairs = [([int(a)], [int(b)]) for r in got for a, b in np.frombuffer(r.swaps, "<i4").reshape(-1, 2)]
-    return fit([np.frombuffer(r.buckets, "<i4") for r in got], toxic, weight, pairs)
+    pairs: Counter[tuple[int, int]] = Counter()
+    for r in got:
+        for a, b, n in np.frombuffer(r.swaps, "<i4").reshape(-1, 3).tolist():
+            pairs[a, b] += n
+    return fit([np.frombuffer(r.buckets, "<i4") for r in got], toxic, weight, [(a, b, n) for (a, b), n in sorted(pairs.items())])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -195,7 +207,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     out = score(docs, model)
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
