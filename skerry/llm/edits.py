@@ -1,98 +1,139 @@
 """Operator 3: token counts that follow edits without encoding a text again.
 
-A text is cut into leaves at places where a pre-token always begins: a space before anything but white
-space. The counts of leaves sum to the count of the text, so they are the leaves of a segment tree whose
-nodes hold sums of code points and of tokens. An edit finds its leaves by the sums of code points, takes
-the leaf on the left as context too if it touches the two code points that make the cut safe, encodes
-that region again, and updates the sums on the paths to the root. The leaf on the right needs no look: its
-own first two code points keep its cut safe whatever stands before it.
+A text is cut into pre-token leaves: before a space or line break that stands in front of anything but white
+space a pre-token always begins. The counts of leaves sum to the count of the text, so they are the leaves
+of a segment tree whose nodes hold sums of code points and of tokens. An edit finds its leaves by the sums
+of code points, takes the leaf on the left as context too if it touches the two code points that make the
+cut safe, encodes that region again, and updates the sums on the paths to the root. What it leaves is cut
+into leaves anew: a region of several becomes a tree of its own in its place, so no leaf grows. The leaf on
+the right needs no look: its own first two code points keep its cut safe whatever stands before it. Where
+an added token could begin there is no cut, as that ends a run of white space too.
 
 Defined cases: a null text is empty and has no tokens; edits are of the text as the ones before have left
-it; a region may become empty; repeated rows repeat their results; an empty table gives no rows; other
-columns are ignored.
+it; a region may become empty; repeated rows repeat their results; an empty table gives no rows; a doc_id is
+a whole number or can be cast to one; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from skerry.llm.common import document_columns, small_arrow_batches
 from skerry.llm.pii import spans
 from skerry.llm.tokens import Encoder, encoder
+from skerry.sources.tables import read_table
 
-LEAF = 512
+LEAF = 1
 
 
-def cuts(text: str, size: int = LEAF) -> list[str]:
-    """Leaves of at least ``size`` code points, cut where a space stands before other than white space."""
-    out, at = [], 0
-    while len(text) - at > size:
-        p = text.find(" ", at + size)
-        while p >= 0 and (p + 1 >= len(text) or text[p + 1].isspace()):
-            p = text.find(" ", p + 1)
-        if p < 0:
-            break
-        out.append(text[at:p])
-        at = p
-    return [*out, text[at:]]
+@lru_cache(maxsize=8)
+def cut_places(added: tuple[str, ...]) -> re.Pattern[str]:
+    """Where a pre-token begins, whatever stands around it."""
+    return re.compile(rf"(?=[ \n][^\s\u180e{re.escape(''.join(sorted({t[0] for t in added if t})))}])")
+
+
+def cuts(text: str, enc: Encoder, size: int = LEAF) -> list[str]:
+    """Leaves of at least ``size`` code points; one if the encoder knows no safe cuts."""
+    pieces = cut_places(tuple(enc.added)).split(text) if enc.by_piece else [text]
+    if size <= 1:
+        return pieces if pieces[0] or len(pieces) == 1 else pieces[1:]
+    out, now, n = [], [], 0
+    for p in pieces:
+        now.append(p)
+        n += len(p)
+        if n >= size:
+            out.append("".join(now))
+            now, n = [], 0
+    return [*out, "".join(now)] if now or not out else out
+
+
+def sums(values: list[int], width: int) -> np.ndarray:
+    """A segment tree of sums over ``width`` leaves: the root at 1, the children of k at 2 k and 2 k + 1."""
+    level = np.zeros(width, np.int64)
+    level[: len(values)] = values
+    levels = [level]
+    while len(level) > 1:
+        level = level.reshape(-1, 2).sum(axis=1)
+        levels.append(level)
+    return np.concatenate([np.zeros(1, np.int64), *reversed(levels)])
 
 
 class CountedText:
     """A text and its number of tokens, kept right through edits."""
 
     def __init__(self, text: str, enc: Encoder, leaf: int = LEAF):
-        self.enc, self.leaves = enc, cuts(text, leaf)
+        self.enc, self.leaf = enc, leaf
+        self.leaves: list[str | CountedText] = list(cuts(text, enc, leaf))
         self.width = 1 << max(0, (len(self.leaves) - 1).bit_length())
-        self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
+        self.chars = sums([len(t) for t in self.leaves], self.width)
+        self.tokens = sums(enc.lengths(self.leaves), self.width)
         self.encoded = len(text)
-        for i, t in enumerate(self.leaves):
-            self.chars[self.width + i], self.tokens[self.width + i] = len(t), len(enc.ids(t))
-        for i in range(self.width - 1, 0, -1):
-            self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
-            self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
 
     @property
     def count(self) -> int:
-        return self.tokens[1]
+        return int(self.tokens[1])
 
     @property
     def text(self) -> str:
-        return "".join(self.leaves)
+        return "".join(self._text(i) for i in range(len(self.leaves)))
+
+    def _text(self, leaf: int) -> str:
+        own = self.leaves[leaf]
+        return own if isinstance(own, str) else own.text
 
     def find(self, at: int) -> tuple[int, int]:
         """The leaf that holds a place, and the place in it; the end of the text is in the last leaf with text."""
         node = 1
         while node < self.width:
             node *= 2
-            if at > self.chars[node] or (at == self.chars[node] and self.chars[node + 1]):
-                at -= self.chars[node]
+            here = int(self.chars[node])
+            if at > here or (at == here and self.chars[node + 1]):
+                at -= here
                 node += 1
         return node - self.width, at
 
-    def _set(self, leaf: int, text: str) -> None:
-        self.leaves[leaf] = text
+    def _sum_up(self, leaf: int, chars: int, tokens: int) -> None:
         node = self.width + leaf
-        change = (len(text) - self.chars[node], (len(self.enc.ids(text)) if text else 0) - self.tokens[node])
-        self.encoded += len(text)
+        more = (chars - int(self.chars[node]), tokens - int(self.tokens[node]))
         while node:
-            self.chars[node] += change[0]
-            self.tokens[node] += change[1]
+            self.chars[node] += more[0]
+            self.tokens[node] += more[1]
             node //= 2
 
+    def _set(self, leaf: int, text: str) -> None:
+        if len(cuts(text, self.enc, self.leaf)) > 1:
+            own = self.leaves[leaf] = CountedText(text, self.enc, self.leaf)
+            tokens = own.count
+        else:
+            self.leaves[leaf] = text
+            tokens = self.enc.lengths([text])[0]
+        self.encoded += len(text)
+        self._sum_up(leaf, len(text), tokens)
+
     def replace(self, start: int, end: int, new: str) -> None:
         """Put new in the place of the code points from start to before end."""
         i, a = self.find(start)
         j, b = self.find(end)
+        own = self.leaves[i]
+        if i == j and a >= 2 and isinstance(own, CountedText):  # all within a tree that a former edit has left
+            before = own.encoded
+            own.replace(a, b, new)
+            self.encoded += own.encoded - before
+            self._sum_up(i, int(own.chars[1]), own.count)
+            return
         while i and a < 2:  # the cut before this leaf depends on what changes
             i -= 1
-            while i and not self.leaves[i]:
+            while i and not self.chars[self.width + i]:
                 i -= 1
-            a += len(self.leaves[i])
-        region = "".join(self.leaves[i:j]) + self.leaves[j][:b]
-        region = region[:a] + new + self.leaves[j][b:]
+            a += len(self._text(i))
+        head, tail = "".join(self._text(k) for k in range(i, j)), self._text(j)
+        region = (head + tail[:b])[:a] + new + tail[b:]
         # Leaves beyond j start with their own safe cut. If j itself is left without one, it is in the region.
         for k in range(i + 1, j + 1):
             self._set(k, "")
@@ -136,7 +177,7 @@ def edited_counts(docs: DataFrame, edits=cleaning_edits, tokenizer: str | None =
                 before, script = counted.count, edits(text)
                 for a, b, new in script:
                     counted.replace(a, b, new)
-                for col, v in zip(rows, (len(text), before, len(script), counted.chars[1], counted.count, counted.encoded - len(text)), strict=True):
+                for col, v in zip(rows, (len(text), before, len(script), int(counted.chars[1]), counted.count, counted.encoded - len(text)), strict=True):
                     col.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in rows)], schema=schema)
 
@@ -145,4 +186,4 @@ def edited_counts(docs: DataFrame, edits=cleaning_edits, tokenizer: str | None =
 
 def op3_edited_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of all documents before and after cleaning."""
-    return edited_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return edited_counts(read_table(spark, sf_dir, "documents"))

@@ -1,15 +1,18 @@
-"""Token ids of whole texts with a byte-level BPE vocabulary of the ``tokenizers`` library."""
+"""Token ids of whole texts by the ``tokenizers`` library."""
 
 from __future__ import annotations
 
-import json
 import os
+import re
+from array import array
 
 import numpy as np
 
-#: Fixed value: the pre-token pattern of the byte-level pre-tokenizer.
-PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PROBE = ["", " a  b\n\n c", "It's 12 o'clock,\tnaïve “ÿ” 日本 🙂 \r\n", "<|endoftext|> x", "aaaa" * 50, " x　 y"]
+#: A text may be cut before these without changing its ids: see ``Encoder``.
+CUT = re.compile(r"(?= [^\s\u180e])|(?=\n[^\s\u180e])")
+SAFE = re.compile(r"\n?[^\s\u180e]")
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+LONGEST, MOST = 64, 2_000_000
 
 
 def default_tokenizer() -> str:
@@ -18,64 +21,104 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def letter_bytes() -> dict[str, int]:
-    """The byte behind each letter of a byte-level vocabulary: printable bytes stand for themselves,
-    the others for code points from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 class Encoder:
     """``Tokenizer.encode(text, add_special_tokens=False)`` for many texts.
 
-    The vocabulary file is the ``tokenizers`` one. Where its ids are the merge order, as in byte-level
-    BPE, the same ranks are given to ``tiktoken``, whose merge loop is about four times as fast; a
-    probe compares both first, and whatever the fast loop can't take goes to ``tokenizers``.
+    Every id is the library's own. A byte-level pre-tokenizer without a prefix space begins a piece at each
+    space or line break that stands before something other than white space, and merges never cross pieces.
+    So texts are cut there, and the library encodes each distinct piece once and not for each time that it
+    stands somewhere; a process keeps up to ``MOST`` of them (about 300 MB). Added tokens end a run of white space too, so texts with one go to the library as they
+    are, and so does every text if the file names another pre-tokenizer or a normalizer.
     """
 
     def __init__(self, path: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        path = path or default_tokenizer()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.fast = self._same_ranks(path)
-        if self.fast and any(self._fast(t) != self._plain(t) for t in PROBE):
-            self.fast = None
-
-    def _same_ranks(self, path: str):
-        import tiktoken
-
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        if spec.get("normalizer") or spec["model"].get("type") != "BPE" or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel":
-            return None
-        special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
-        letters = letter_bytes()
-        try:
-            ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        except KeyError:
-            return None
-        return tiktoken.Encoding("own", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens=special)
+        self.tokenizer = Tokenizer.from_file(path or default_tokenizer())
+        self.by_piece = self._cuts_are_safe()
+        self.known: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.sizes: dict[str, int] = {"": 0}
+
+    def _cuts_are_safe(self) -> bool:
+        import json
 
-    def _plain(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        spec = json.loads(self.tokenizer.to_str())
+        pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        plain = spec.get("normalizer") is None and model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+        own = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        return bool(plain and own and not spec.get("truncation") and not spec.get("padding"))
 
-    def _fast(self, text: str) -> list[int]:
-        return self.fast.encode(text, allowed_special="all", disallowed_special=())
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def ids(self, text: str) -> np.ndarray:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return np.empty(0, "<u4")
-        if self.fast:
-            try:
-                return self.fast.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype("<u4", copy=False)
-            except BaseException as e:  # the regex engine panics on some very long runs
-                if isinstance(e, (KeyboardInterrupt, SystemExit)):
-                    raise
-        return np.array(self._plain(text), "<u4")
+        if not self.by_piece or any(t in text for t in self.added):
+            return self.whole(text)
+        # A space is left out of the pieces behind it; one that begins with a line break has none.
+        head, *rest = text.replace("\n", " \n").split(" ")
+        known = self.known
+        try:
+            return np.frombuffer(self.head(head) + b"".join(map(known.__getitem__, rest)), "<u4")
+        except KeyError:
+            new = set(rest).difference(known)
+        if not all(map(SAFE.match, new)):  # white space in a row
+            head, *rest = CUT.split(text)
+            rest = [p if p[0] == "\n" else p[1:] for p in rest]
+            new = set(rest).difference(known)
+        self.learn(new)
+        out = self.head(head) + b"".join(map(known.__getitem__, rest))
+        for p in new:
+            if len(p) > LONGEST:
+                del known[p]
+        if len(known) > MOST:
+            known.clear()
+        return np.frombuffer(out, "<u4")
+
+    def head(self, text: str) -> bytes:
+        return self.raw(text) if text else b""
+
+    def raw(self, text: str) -> bytes:
+        if (ids := self.tails.get(text)) is None:
+            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            if len(text) < 4 and len(self.tails) < MOST:
+                self.tails[text] = ids
+        return ids
+
+    def learn(self, pieces: set[str]) -> None:
+        """Ask the library for pieces. Letters and the signs behind them are pieces of their own as well."""
+        known, parts, asked = self.known, [], []
+        for p in pieces:
+            core = p.rstrip(SIGNS) if len(p) <= LONGEST else p
+            if core != p and core and core[-1].isascii() and core[-1].isalpha():
+                parts.append((p, core, p[len(core) :]))
+                if core not in known and core not in pieces:
+                    asked.append(core)
+            else:
+                asked.append(p)
+        asked = list(dict.fromkeys(asked))
+        for p, e in zip(asked, self.tokenizer.encode_batch_fast([p if p[0] == "\n" else " " + p for p in asked], add_special_tokens=False), strict=True):
+            known[p] = array("I", e.ids).tobytes()
+        for p, core, tail in parts:
+            known[p] = known[core] + self.raw(tail)
+
+    def lengths(self, pieces: list[str]) -> list[int]:
+        """How many ids each piece has by itself."""
+        try:
+            return list(map(self.sizes.__getitem__, pieces))
+        except KeyError:
+            new = list({p for p in pieces if p not in self.sizes})
+        found = dict(zip(new, (len(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        out = [self.sizes[p] if p in self.sizes else found[p] for p in pieces]
+        if len(self.sizes) > MOST:
+            self.sizes = {"": 0}
+        self.sizes.update((p, n) for p, n in found.items() if len(p) <= LONGEST)
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
