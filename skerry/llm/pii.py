@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.llm.common import document_columns, small_arrow_batches
+from skerry.sources.tables import read_table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
@@ -153,4 +154,4 @@ def mask(docs: DataFrame) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return find(read_table(spark, sf_dir, "documents"))

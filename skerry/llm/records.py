@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skerry.llm.common import Scratch, checkpointed, document_columns, small_arrow_batches
 from skerry.llm.tokens import encoder
+from skerry.sources.tables import read_table
 
 MASK_DELTA = 0xA282EAD8
 HEAD, TAIL, SEQUENCE, ENTRY = "<QI", "<I", "<BBq", "<qQQ"
@@ -157,7 +158,7 @@ def read_digests(spark: SparkSession, records: RecordFiles) -> DataFrame:
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as records and read back; the files go when the digests are kept."""
     scratch = Scratch(spark, "records")
-    written = write_records(spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{scratch.root}/files")
+    written = write_records(read_table(spark, sf_dir, "documents"), f"{scratch.root}/files")
     out = checkpointed(read_digests(spark, written))
     scratch.drop()
     return out
