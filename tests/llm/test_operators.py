@@ -6,10 +6,13 @@ import hashlib
 import random
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from skerry.llm import chat, decontaminate, edits, embeddings, minhash, packing, pii, records, repeats, shingles, tokens, toxicity
 from skerry.llm.common import Scratch, connected_components
@@ -42,13 +45,38 @@ def enc():
     return tokens.encoder()
 
 
+@lru_cache
+def library_tokenizer():
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def library(text):
+    """Ids by the library itself, without any code under test."""
+    return library_tokenizer().encode(text or "", add_special_tokens=False).ids
+
+
 def test_encoder_equals_the_library(enc):
     r = random.Random(3)
-    parts = ["a", " ", "  ", "\n", "don't", "é", "12", "...", "日本", " x", "\t", "🙂", "<|endoftext|>", " ", "　"]
-    texts = ["", *("".join(r.choice(parts) for _ in range(r.randint(1, 60))) for _ in range(400))]
-    assert enc.fast is not None
+    parts = ["a", " ", "  ", "\n", "don't", "é", "12", "...", "日本", " x", "\t", "🙂", "<|endoftext|>", "\u00a0", "\u3000", "\u180e", "\x1c", "\x85", "\u2028", "\u200b", "\ufeff", "'s", "\r\n", "\v", "<"]
+    texts = ["", *HARD[1:], *("".join(r.choice(parts) for _ in range(r.randint(1, 60))) for _ in range(3000))]
+    assert enc.by_piece
     for t in texts:
-        assert enc.ids(t).tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+        assert enc.ids(t).tolist() == library(t)
+
+
+def test_encoder_around_every_code_point(enc):
+    for c in [*range(0xD800), *range(0xE000, 0x11000)]:
+        t = f"a {chr(c)}b  {chr(c)} c\n{chr(c)}"
+        assert enc.ids(t).tolist() == library(t)
+
+
+def test_encoder_forgets_and_stays_right(monkeypatch):
+    monkeypatch.setattr(tokens, "MOST", 5)
+    own, r = tokens.Encoder(), random.Random(4)
+    for _ in range(200):
+        t = prose(r, 30)
+        assert own.ids(t).tolist() == library(t) and own.lengths([t, " x"]) == [len(library(t)), len(library(" x"))]
+    assert len(own.known) < 60
 
 
 @pytest.mark.parametrize("texts", [EMPTY, HARD])
@@ -58,7 +86,7 @@ def test_records_round_trip(spark, tmp_path, enc, texts):
     got = by_id(records.read_digests(spark, written), "start", "n_tokens", "ids_crc32")
     at = 0
     for i, t in enumerate(texts):
-        ids = np.append(enc.ids(t or ""), np.uint32(0)).astype("<u4")
+        ids = np.append(np.array(library(t), "<u4"), np.uint32(0)).astype("<u4")
         assert got[i] == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     if texts:
@@ -106,7 +134,7 @@ def test_packing(spark, enc, sources, shares):
     r = random.Random(5)
     texts = [*HARD, *(prose(r, r.randint(1, 300)) for _ in range(60))]
     got = packing.pack(documents(spark, texts, sources), Scratch(spark, "t"), shares, window=64, cycle=8).collect()
-    ids = {i: np.append(enc.ids(t or ""), np.uint32(0)).astype("<u4") for i, t in enumerate(texts)}
+    ids = {i: np.append(np.array(library(t), "<u4"), np.uint32(0)).astype("<u4") for i, t in enumerate(texts)}
     fill = check_pieces(got, ids)
     assert all(n == 64 for k, n in fill.items() if k != max(fill)) and fill[max(fill)] <= 64
 
@@ -123,6 +151,30 @@ def test_packing_keeps_the_mixture(spark):
     assert dry > 100 and all(share[k] == {"a": 32, "b": 32} for k in range(dry))
 
 
+@pytest.mark.parametrize(("fan", "max_queues", "shares"), [(3, 100, None), (3, 100, {"s1": 50, "s2": 0}), (256, 5, None), (256, 5, {"s1": 50, "s20": 3}), (2, 3, {f"s{i}": i for i in range(9)})])
+def test_packing_of_many_sources(spark, fan, max_queues, shares):
+    r = random.Random(8)
+    texts = [prose(r, r.randint(1, 200)) for _ in range(120)]
+    sources = tuple(f"s{i}" for i in range(23 if fan > 2 else 4))  # two levels reach fan * fan queues
+    got = packing.pack(documents(spark, texts, sources), Scratch(spark, "t"), shares, window=64, cycle=8, fan=fan, max_queues=max_queues).collect()
+    fill = check_pieces(got, {i: np.array([*library(t), 0], "<u4") for i, t in enumerate(texts)})
+    assert all(n == 64 for k, n in fill.items() if k != max(fill)) and fill[max(fill)] <= 64
+    assert all(p.source == sources[p.doc_id % len(sources)] for p in got)
+
+
+def test_named_shares_hold_among_many_sources(spark):
+    """A source with a named share keeps its part of each window, however many others there are."""
+    r = random.Random(9)
+    texts, sources = [prose(r, 300) for _ in range(80)], ["main" if i % 2 else f"x{i}" for i in range(80)]
+    for cap in (8, 1000):
+        got = packing.pack(documents(spark, texts, sources), Scratch(spark, "t"), {"main": 20}, window=60, cycle=8, max_queues=cap, fan=4 if cap == 8 else 16).collect()
+        share = {}
+        for p in got:
+            share.setdefault(p.sequence_id, {}).setdefault(p.source == "main", 0)
+            share[p.sequence_id][p.source == "main"] += p.length
+        assert all(abs(share[k][True] - 20) <= 1 for k in range(60))
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack(documents(spark, EMPTY), Scratch(spark, "t")).count() == 0
 
@@ -135,23 +187,27 @@ def test_round_robin_carries_deficits():
 
 
 def test_edited_counts(enc):
-    r, parts = random.Random(1), ["a", " ", "  ", "\n", "foo", "'s", "é", "12", ".", "日", " x", "\t"]
+    r, parts = random.Random(1), ["a", " ", "  ", "\n", "foo", "'s", "é", "12", ".", "日", " x", "\t", "<|endof", "text|>"]
     for _ in range(300):
         t = "".join(r.choice(parts) for _ in range(r.randint(0, 60)))
         c = edits.CountedText(t, enc, leaf=r.choice([1, 3, 8]))
-        for _ in range(5):
+        for _ in range(12):
             a = r.randint(0, len(t))
             b, new = r.randint(a, min(len(t), a + 12)), "".join(r.choice(parts) for _ in range(r.randint(0, 4)))
             c.replace(a, b, new)
             t = t[:a] + new + t[b:]
-            assert c.text == t and c.count == len(enc.ids(t)) and c.chars[1] == len(t)
+            assert c.text == t and c.count == len(library(t)) and c.chars[1] == len(t)
 
 
 def test_edits_encode_only_what_they_touch(enc):
     c = edits.CountedText("some words here " * 2000, enc)
     before = c.encoded
     c.replace(16000, 16004, "more")
-    assert c.encoded - before < 2000
+    assert c.encoded - before < 40
+    c.replace(16000, 16004, "many more words " * 500)
+    grown = c.encoded
+    c.replace(17000, 17003, "x")  # within what the last edit has put there
+    assert c.encoded - grown < 40 and c.count == len(library(c.text))
 
 
 def test_edit_query(spark, enc):
@@ -162,7 +218,7 @@ def test_edit_query(spark, enc):
         after = t or ""
         for a, b, new in edits.cleaning_edits(after):
             after = after[:a] + new + after[b:]
-        assert got[i][:2] == (len(enc.ids(t or "")), len(enc.ids(after)))
+        assert got[i][:2] == (len(library(t)), len(library(after)))
     assert got[len(texts) - 1][2] == 2
     assert edits.edited_counts(documents(spark, EMPTY)).count() == 0
 
@@ -198,10 +254,35 @@ def test_toxicity_without_labels(spark):
 
 
 def test_toxicity_on_held_out_rows(spark):
-    d = "/root/testdata/sf0.01"
+    d = "/root/testdata/sf0.1"
     out = toxicity.op1_toxicity(spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
-    good = sum(r.predicted == r.toxic for r in out) / len(out)
-    assert good >= 0.9
+    ones, zeros = (np.array([r.score for r in out if r.toxic == kind]) for kind in (1, 0))
+    assert np.mean(ones >= 0.5) >= 0.8 and np.mean(zeros < 0.5) >= 0.99  # measured 0.866 and 1.0
+    assert np.mean((ones[:, None] > zeros) + 0.5 * (ones[:, None] == zeros)) >= 0.98  # measured 0.993
+
+
+def test_toxicity_of_one_class_or_conflicting_labels(spark):
+    docs = documents(spark, [f"text {i}" for i in range(40)] * 2, ids=[*range(40)] * 2)
+    for toxic, below in ((0, True), (1, False)):
+        model = toxicity.train(docs, spark.createDataFrame([(i, toxic) for i in range(40)], "doc_id long, toxic int"))
+        n = spark.range(40).select(F.col("id").alias("doc_id")).where(~toxicity.held_out()).count()
+        assert model.scores([""])[0] == pytest.approx(((toxic * n) + 0.5) / (n + 1.5)) and (model.scores(["text"])[0] < 0.5) == below
+    both = [(i, t) for i in range(40) for t in (0, i % 2)]
+    model, one = (toxicity.train(docs, spark.createDataFrame(x, "doc_id long, toxic int")) for x in (both, [(i, i % 2) for i in range(40)]))
+    assert model.scores(["text 1"]) == pytest.approx(one.scores(["text 1"]))  # toxic wins, repeated rows count once
+
+
+def test_every_swap_counts():
+    terms = toxicity.swap_table()
+    one = toxicity.swaps("the women are here.", terms)
+    assert one and toxicity.swaps("the women are here. " * 500, terms) == {k: 500 * n for k, n in one.items()}
+
+
+def test_toxicity_of_few_words(spark):
+    """The bound on words takes rows in the order of their hashes, whole."""
+    docs = documents(spark, [("scum " if i % 2 else "kind ") + prose(random.Random(i), 20) for i in range(200)])
+    known = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    assert toxicity.train(docs, known, max_words=1000).scores(["scum"])[0] > 0.5
 
 
 # --- personal data ----------------------------------------------------------------------------------
@@ -278,7 +359,7 @@ def near_texts(r):
 @pytest.mark.parametrize("k", [2, 5])
 @pytest.mark.parametrize("block", [4, 256])
 def test_minhash_equals_brute_force(spark, monkeypatch, k, block):
-    monkeypatch.setattr(minhash.compared, "__defaults__", (block,))
+    monkeypatch.setattr(minhash.compared, "__defaults__", (block, ("cls",)))
     texts = near_texts(random.Random(k))
     sets = [shingles.exact_set(t or "", k) for t in texts]
     links = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
@@ -468,6 +549,24 @@ def test_caps_of_many_vectors_still_meet():
         assert np.mean([len(np.intersect1d(x, y)) > 0 for x, y in pairs]) >= 0.95
 
 
+def test_decoding_equals_all_products():
+    g = np.random.default_rng(33)
+    unit = embeddings.unit_rows(g.standard_normal((50, 10)))
+    for n in (40, 3000):
+        c = embeddings.CapFilters.make(10, n, meetings=2.0)
+        turned = unit @ c.rotation
+        grid = (turned[:, :5] @ c.left.T)[:, :, None] + (turned[:, 5:] @ c.right.T)[:, None, :]
+        want = [np.flatnonzero(x.ravel() >= c.height) if (x >= c.height).any() else np.array([x.argmax()]) for x in grid]
+        assert [x.tolist() for x in embeddings.decode_all([c], unit)] == [x.tolist() for x in want]
+
+
+def test_repeated_and_missing_ids(spark):
+    near, far, other = [1.0, 0.0, 0.0], [0.0, 0.0, 1.0], [0.99, 0.01, 0.0]
+    rows = [(1, near), (1, far), (2, other), (None, near), (None, [0.0, 1.0, 0.0]), (7, [0.0, 0.0]), (8, [0.5] * 9), (9, [1.0] * 9)]
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_vectors(vectors(spark, rows)).collect()), key=str)
+    assert got == sorted([(1, 2, 1), (1, 0, 1), (2, 2, 1), (None, 2, 1), (None, 0, None), (7, 0, 7), (8, 1, 8), (9, 1, 8)], key=str)
+
+
 def test_no_vectors(spark):
     assert embeddings.near_vectors(vectors(spark, [])).count() == 0
 
