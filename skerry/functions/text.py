@@ -12,9 +12,12 @@ from skerry.session import AnalyzerConfig
 
 
 def _fold_table() -> tuple[str, str]:
-    """Latin letters with marks and their bases, by Unicode's canonical decomposition."""
+    """Letters with marks and their bases in all scripts, by Unicode's canonical decomposition.
+
+    Hangul syllables, which decompose into letters without marks, stay as they are.
+    """
     marked, plain = [], []
-    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
+    for c in map(chr, [*range(0xC0, 0xAC00), *range(0xF900, 0x10000), *range(0x10000, 0x30000)]):
         parts = [x for x in unicodedata.normalize("NFD", c) if not unicodedata.category(x).startswith("M")]
         if len(parts) == 1 and parts[0] != c:
             marked.append(c)
@@ -27,7 +30,7 @@ NOT_TERM = r"[^\p{L}\p{N}'-]+"
 
 
 def fold_accents(c: Column) -> Column:
-    """Latin letters lose their marks; marks that stand alone are dropped. Texts of ASCII have none."""
+    """Letters lose their marks; marks that stand alone are dropped. Texts of ASCII have none."""
     return F.when(F.octet_length(c) == F.length(c), c).otherwise(F.regexp_replace(F.translate(c, MARKED, PLAIN), r"\p{M}+", ""))
 
 
@@ -60,6 +63,35 @@ def tokenize(c: Column, config: AnalyzerConfig = AnalyzerConfig()) -> Column:
     return F.transform(kept, stem) if config.stemming else kept
 
 
+def analyzed(text: str, config: AnalyzerConfig = AnalyzerConfig()) -> list[str]:
+    """The distinct terms of a query, in order, by the rules of ``tokenize``: on the driver, for one query."""
+    low = re.sub(r"\bhttps?://\S+", " ", re.sub(r"[#*_`\[\]()]", " ", text)).lower()
+    if config.fold_accents:
+        low = "".join(c for c in low.translate(str.maketrans(MARKED, PLAIN)) if not unicodedata.category(c).startswith("M"))
+    terms = [t for t in re.split(r"(?:[^\w'-]|_)+", low) if len(t) >= 2]
+    return list(dict.fromkeys(map(_stem, terms) if config.stemming else terms))
+
+
+def _stem(t: str) -> str:
+    base = t.removesuffix("'s") if len(t) > 3 else t
+    if len(t) <= 3 or len(base) <= 3:
+        return base
+    return base[:-2] if base.endswith("es") and len(base) > 4 else base.removesuffix("s")
+
+
+def alternatives(terms: list[str], config: AnalyzerConfig) -> dict[str, list[str]]:
+    """Each query term with itself and its synonyms, as the settings have them; ``expand`` for one query."""
+    known: dict[str, list[str]] = {}
+    one = lambda x: next(iter(analyzed(x, config)), None)
+    for entry in config.synonyms:
+        base, _, variants = entry.partition("=")
+        for v in variants.split(","):
+            if (a := one(base)) and (b := one(v)) and a != b:
+                known.setdefault(a, []).append(b)
+                known.setdefault(b, []).append(a)
+    return {t: list(dict.fromkeys([t, *known.get(t, [])])) for t in terms}
+
+
 def title_of(content: Column) -> Column:
     """The first level-1 heading, else the frontmatter's title, else nothing."""
     heading = F.trim(F.regexp_extract(content, r"(?m)^#\s+(.+)$", 1))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,8 +51,12 @@ def stats(edges: DataFrame) -> DataFrame:
 
 
 def _shared(spark: SparkSession) -> None:
+    """Checkpoints go to the folder that the cluster names; only a session on one machine may do without."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/skerry")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "skerry"))
 
 
 def page_rank(edges: DataFrame, vertices: DataFrame | None = None, damping: float = 0.85, rounds: int = 20, epsilon: float | None = 1e-4, every: int = 5) -> DataFrame:
@@ -70,14 +78,12 @@ def page_rank(edges: DataFrame, vertices: DataFrame | None = None, damping: floa
         return nodes.withColumn("page_rank", F.lit(0.0))
     ranks = nodes.withColumn("r", F.lit(1.0 / n))
     for turn in range(1, rounds + 1):
-        given = links.join(ranks.withColumnRenamed("path", "src"), "src").groupBy(F.col("dst").alias("path")).agg(F.sum(F.col("r") / F.col("degree")).alias("g"))
-        new = nodes.join(given, "path", "left").select("path", ((1 - damping) / n + damping * F.coalesce("g", F.lit(0.0))).alias("r"))
+        given = links.join(ranks.select(F.col("path").alias("src"), "r"), "src").groupBy(F.col("dst").alias("path")).agg(F.sum(F.col("r") / F.col("degree")).alias("g"))
+        ranks = ranks.join(given, "path", "left").select("path", F.col("r").alias("was"), ((1 - damping) / n + damping * F.coalesce("g", F.lit(0.0))).alias("r"))
         if epsilon is not None or turn % every == 0:
-            new = new.checkpoint()
-        if epsilon is not None and (ranks.join(new.withColumnRenamed("r", "s"), "path").agg(F.max(F.abs(F.col("r") - F.col("s"))).alias("d")).first().d or 0.0) < epsilon:
-            ranks = new
+            ranks = ranks.checkpoint()
+        if epsilon is not None and (ranks.agg(F.max(F.abs(F.col("r") - F.col("was"))).alias("d")).first().d or 0.0) < epsilon:
             break
-        ranks = new
     top = ranks.agg(F.max("r").alias("top"))
     return ranks.crossJoin(F.broadcast(top)).select("path", F.when(F.col("top") > 0, F.col("r") / F.col("top")).otherwise(0.0).alias("page_rank"))  # one row
 

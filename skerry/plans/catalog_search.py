@@ -9,6 +9,8 @@ from skerry.functions import scores
 from skerry.operators import graph, index, ranking, usage
 from skerry.plans import hybrid
 from skerry.plans import query as Q
+from skerry.plans.catalog_text import PIECES
+from skerry.plans.catalog_usage import EDGES, PAGERANK
 from skerry.plans.views import CHUNKS, EVENTS, METADATA, NOTES, QUERY, TERMS, chunks, events, metadata, notes, now, table, terms_sql
 from skerry.session import AnalyzerConfig, HybridSettings
 
@@ -33,18 +35,18 @@ def idf_table(s, d):
 
 def idf_weights(s, d):
     n = notes(s, d)
-    return index.idf_weights(index.document_frequency(n), [*TERMS, "zzzz"], n.count()).select("term", F.round("idf", 6).alias("idf"), F.round("weight", 6).alias("weight"))
+    return index.idf_weights(index.frequency_of(n, [*TERMS, "zzzz"]), [*TERMS, "zzzz"], n.count()).select("term", F.round("idf", 6).alias("idf"), F.round("weight", 6).alias("weight"))
 
 
-def _index(s, d):
-    n = notes(s, d)
-    return index.postings(n.select("id", "title", "tags", "content"), AnalyzerConfig()), n.count()
+def _found(s, d, prefix: bool = True, tolerance: int = 1, terms: index.Terms = TERMS, config: AnalyzerConfig = AnalyzerConfig(), docs: DataFrame | None = None) -> DataFrame:
+    n = notes(s, d) if docs is None else docs
+    post, stats = index.probe(n, terms, config, prefix, tolerance)
+    return index.keyword_search(post, n.count(), terms, prefix, tolerance, stats=stats)
 
 
 def _search(prefix: bool, tolerance: int):
     def run(s: SparkSession, d: str) -> DataFrame:
-        post, n = _index(s, d)
-        return index.keyword_search(post, n, TERMS, prefix, tolerance).select("id", F.round("score", 6).alias("score"), F.array_join("matches", ",").alias("matches"))
+        return _found(s, d, prefix, tolerance).select("id", F.round("score", 6).alias("score"), F.array_join("matches", ",").alias("matches"))
 
     return run
 
@@ -83,8 +85,7 @@ sig AS (SELECT CAST(acc.path AS BIGINT) AS id, ln(1 + opens) / ln(1 + greatest((
 
 
 def combined_score(s, d):
-    post, n = _index(s, d)
-    found = index.keyword_search(post, n, TERMS).join(_signals(s, d), "id", "left")
+    found = _found(s, d).join(_signals(s, d), "id", "left")
     total = scores.combined(F.round("score", 9), F.col("last_opened"), scores.zero(F.col("usage")), F.lit(0.0), F.col("bounce"), now())
     return index.two_stage_top(found.withColumn("score", F.round("score", 6)), 20, F.round(total, 6)).select("id", "score", "combined")
 
@@ -149,8 +150,7 @@ def max_pair_similarity(s, d):
 
 
 def _lists(s, d):
-    post, n = _index(s, d)
-    k = index.keyword_search(post, n, TERMS).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "id").limit(40)
+    k = _found(s, d).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "id").limit(40)
     best = ranking.best_chunks(chunks(s, d), vector_zero(s, d), key="id").withColumn("similarity", F.round("similarity", 6)).orderBy(F.desc("similarity"), "id").limit(40)
     return ranking.ranked(k, "score", "id"), ranking.ranked(best, "similarity", "id")
 
@@ -194,14 +194,13 @@ TITLE = f"""WITH {NOTES} SELECT id, CAST(round(CASE WHEN lower(title) = 'the ing
 
 def content_density(s, d):
     n = notes(s, d)
-    corpus = hybrid.Corpus(n, n, n, df=index.document_frequency(n), n_docs=n.count())
-    w = hybrid.idf_of(corpus, TERMS)
+    w = hybrid.idf_of(hybrid.Corpus(n, n, n).counted(), TERMS)
     return n.select("id", F.round(scores.density(F.col("content"), w), 6).alias("density"))
 
 
 DENSITY = f"""WITH {DF}, w AS (SELECT t, greatest(0, ln((n + 1) / (coalesce(df, 0) + 1))) AS w FROM (SELECT unnest(['{A}', '{B}']) AS t) x LEFT JOIN df ON df.term = x.t, n),
 dens AS (SELECT doc_id AS id, round(sum(w * least((length(lower(text)) - length(replace(lower(text), t, ''))) / length(t) / 5.0, 1)) / (SELECT sum(w) FROM w), 6) AS density FROM documents, w GROUP BY doc_id)
-SELECT id, density FROM dens WHERE density > 0 ORDER BY density DESC, id LIMIT 10"""
+SELECT id, density FROM dens"""
 
 
 def proximity(s, d):
@@ -232,9 +231,6 @@ def hybrid_search(s, d):
     return page.select("id", F.round("final", 6).alias("final"), F.round("fusion", 6).alias("fusion"), "source", "keyword_rank", "semantic_rank", "in_pool")
 
 
-HYBRID_LISTS = LISTS.replace("LIMIT 40", "LIMIT 100").replace("WITH ", "WITH RECURSIVE " + SIGNALS.strip() + ", ", 1)
-
-
 def hybrid_filtered(s, d):
     page = hybrid.search(_corpus(s, d), f"{QUERY} lang:en size:>1500", vector_zero(s, d), now(), HybridSettings(semantic_threshold=0.1))
     return page.select("id", F.round("final", 6).alias("final"), "source", "excerpt", "reason")
@@ -293,6 +289,46 @@ fold AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS leaders, -1::BIGINT AS lead
 named AS (SELECT r AS rank, lead, list_position((SELECT leaders FROM fold ORDER BY r DESC LIMIT 1), lead) - 1 AS cluster_id FROM fold WHERE r > 0)
 SELECT id, page.rank, CAST(cluster_id AS INTEGER) AS cluster_id, lead = page.rank AS is_primary, count(*) OVER (PARTITION BY cluster_id) AS cluster_size FROM page JOIN named USING (rank)"""
 
+def hybrid_sql(columns: str, semantic: bool = True, before: str = "true", after: str = "true", name: str = "") -> str:
+    """The whole of a hybrid query: both lists, fusion, signals, the pool's boost, threshold and page.
+
+    before: which notes there are at all; after: which of the ranked ones stay. ``columns`` are of ``page``.
+    """
+    q, words = QUERY, f"['{A}', '{B}']"
+    kw = search_sql(True, 1).removeprefix("WITH ").split("SELECT id, round(sum(v), 6)")[0]
+    prox = PROXIMITY.removeprefix(f"WITH {NOTES}, ").replace("SELECT id, round(CASE WHEN a AND b", "prox AS (SELECT id, CASE WHEN a AND b").replace("* 0.3 / 2 END, 6) AS proximity", "* 0.3 / 2 END AS near").replace("FROM has LEFT JOIN span USING (id)", "FROM has LEFT JOIN span USING (id))").replace("span AS (SELECT", "spans AS (SELECT", 1).replace("LEFT JOIN span ", "LEFT JOIN spans ")
+    prox = prox.replace("GROUP BY id)\nprox", "GROUP BY id),\nprox")
+    titles = TITLE.split("SELECT id, CAST(round(")[1].split(", 6) AS DOUBLE)")[0].replace("'the ing'", f"'{q}'").replace("'the'", f"'{A}'").replace("'ing'", f"'{B}'")
+    dens = DENSITY.removeprefix("WITH ").split("SELECT id, density FROM dens")[0].replace("round(sum(w * ", "sum(w * ").replace(", 6) AS density", " AS density").replace("SELECT doc_id AS id, sum", "SELECT doc_id AS id, sum").replace("n AS (SELECT count(*) AS n FROM documents)", "n0 AS (SELECT count(*) AS n FROM documents)").replace(" df.term = x.t, n)", " df.term = x.t, n0)").replace("w AS (SELECT t,", "wt AS (SELECT t,").replace("FROM documents, w GROUP", "FROM documents, wt GROUP").replace("FROM w)", "FROM wt)")
+    ranks = EDGES.removeprefix(EVENTS).lstrip(", ") + PAGERANK.removeprefix(f"WITH RECURSIVE {EDGES}").rstrip() + """,
+moves AS (SELECT a.i, max(abs(a.r - b.r)) AS d FROM pr a JOIN pr b ON a.path = b.path AND b.i = a.i - 1 GROUP BY a.i), stop AS (SELECT coalesce(min(i) FILTER (d < 1e-4), 20) AS i FROM moves),
+rank AS (SELECT CAST(path AS BIGINT) AS id, r / (SELECT max(r) FROM pr JOIN stop USING (i)) AS page_rank FROM pr JOIN stop USING (i))"""
+    ranks = ranks.replace(", n AS (SELECT count(*) AS n FROM nodes)", ", nn AS (SELECT count(*) AS n FROM nodes)").replace("FROM nodes, n\n", "FROM nodes, nn\n").replace("GROUP BY p.i, nodes.path), n)", "GROUP BY p.i, nodes.path), nn)")
+    sm = f"""sm AS (SELECT id, similarity, row_number() OVER (ORDER BY relevance DESC, id) AS rank FROM (SELECT id, round(similarity, 9) AS similarity, round(least(1, 0.6 * similarity + CASE WHEN lower(title) = '{q}' THEN 0.25 WHEN contains(lower(title), '{q}') THEN 0.15 ELSE 0 END
+ + CASE WHEN days < 30 THEN 0.1 * greatest(0, (30 - days) / 30) ELSE 0 END + CASE WHEN len(list_filter(tags, lambda t: contains(lower(t), '{q}'))) > 0 THEN 0.1 ELSE 0 END + CASE WHEN size > 1000 AND size < 50000 THEN 0.02 ELSE 0 END), 9) AS relevance
+ FROM (SELECT *, (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(last_modified)) / 86400e6 AS days FROM best JOIN notes USING (id)) WHERE similarity >= 0.1 AND {'true' if semantic else 'false'} ORDER BY relevance DESC, similarity DESC, id LIMIT 40))"""
+    piece = PIECES.replace("(text,", "(content,")
+    whole = f"""{SIGNALS}, {ranks}, {kw}, {BEST.strip()}, {prox}, {dens},
+kw AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, round(sum(v), 9) AS score FROM found GROUP BY id HAVING count(DISTINCT q) = 2 ORDER BY score DESC, id LIMIT 40)), {sm},
+fused AS (SELECT coalesce(kw.id, sm.id) AS id, kw.rank AS keyword_rank, sm.rank AS semantic_rank, similarity, coalesce(0.5::DOUBLE / (60 + kw.rank), 0) + coalesce(0.5::DOUBLE / (60 + sm.rank), 0) AS fusion, CASE WHEN kw.id IS NOT NULL AND sm.id IS NOT NULL THEN 'both' WHEN kw.id IS NOT NULL THEN 'keyword' ELSE 'semantic' END AS source FROM kw FULL JOIN sm ON kw.id = sm.id),
+about AS (SELECT f.*, n.* EXCLUDE (id), row_number() OVER (ORDER BY fusion DESC, keyword_rank NULLS LAST, semantic_rank NULLS LAST) AS fusion_rank,
+ (0.25 * {titles} + 0.15 * CASE WHEN recency >= 0.1 THEN recency ELSE 0 END + 0.15 * least(coalesce(usage, 0) / 100, 1) + 0.25 * density + 0.2 * coalesce(page_rank, 0) + 0.15 * near) / 1.15 - 0.1 * coalesce(bounce, 0) AS boost
+ FROM fused f JOIN notes n USING (id) LEFT JOIN sig USING (id) LEFT JOIN rank USING (id) JOIN dens USING (id) JOIN prox USING (id)),
+ranked AS (SELECT *, fusion_rank <= 20 AS in_pool, CASE WHEN fusion_rank <= 20 THEN greatest(0, 0.6 * least(1, fusion * 30) + 0.4 * round(boost, 9)) ELSE least(1, fusion * 30) END AS final FROM about),
+page AS (SELECT *, contains(lower(title), '{q}') AS in_title, len(list_filter(tags, lambda t: contains(lower(t), '{q}'))) > 0 AS in_tags,
+ list_filter({piece}, lambda s: contains(lower(s), '{A}') OR contains(lower(s), '{B}'))[1] AS piece, regexp_replace(regexp_replace(left(content, 150), '^\\s+', ''), '\\s+$', '') AS head FROM ranked WHERE final >= 0.1 AND ({after}) ORDER BY in_pool DESC, CASE WHEN in_pool THEN final END DESC, fusion_rank LIMIT 20)"""
+    return f"WITH RECURSIVE docs AS (SELECT * FROM documents WHERE {before}), {whole.replace('FROM documents', 'FROM docs').strip()} SELECT {columns} FROM page"
+
+
+NOT_BARE = "id % 10 <> 0 AND lang = 'en'"
+EXCERPT = "CASE WHEN piece IS NOT NULL THEN CASE WHEN length(piece) > 150 THEN left(piece, 150) || '...' ELSE piece END WHEN head <> '' THEN head || '...' ELSE 'No preview available' END AS excerpt"
+REASON = "concat_ws(' • ', CASE source WHEN 'both' THEN 'Matched by keywords and meaning' WHEN 'keyword' THEN 'Matched by keywords' ELSE 'Matched by meaning' END, CASE WHEN in_title THEN 'title matches' END, CASE WHEN in_tags THEN 'tag matches' END, CASE WHEN similarity > 0.7 THEN 'highly relevant content' END) AS reason"
+HYBRID = hybrid_sql("id, round(final, 6) AS final, round(fusion, 6) AS fusion, source, keyword_rank, semantic_rank, in_pool")
+HYBRID_FILTERED = hybrid_sql(f"id, round(final, 6) AS final, source, {EXCERPT}, {REASON}", after=f"{NOT_BARE} AND size > 1500")
+HYBRID_PHASES = " UNION ALL ".join(f"SELECT * FROM ({hybrid_sql(f'CAST({repr(name)} AS VARCHAR) AS phase, id, round(final, 6) AS final, source', semantic)})" for name, semantic in (("keyword", False), ("complete", True)))
+HYBRID_PREFILTERED = hybrid_sql("id, round(final, 6) AS final", False, before="doc_id % 10 <> 0 AND lang = 'en'")
+
+
 QUERIES: dict[str, tuple] = {
     "doc_frequency": (doc_frequency, f"WITH {DF} SELECT term, df FROM df"),
     "corpus_stats": (corpus_stats, f"WITH {DF} SELECT n AS n_docs, (SELECT count(*) FROM df) AS vocabulary FROM n"),
@@ -306,7 +342,7 @@ QUERIES: dict[str, tuple] = {
     "best_chunk": (best_chunk, f"WITH {BEST} SELECT id, round(similarity, 6) AS similarity, best_chunk FROM best"),
     "semantic_relevance": (semantic_relevance, f"WITH {REL} SELECT id, similarity, relevance FROM rel ORDER BY relevance DESC, similarity DESC, id LIMIT 20"),
     "semantic_flags": (semantic_flags, f"WITH {REL} SELECT id, contains(lower(title), 'the') AS title_match, len(list_filter(tags, lambda t: contains(lower(t), 'en'))) > 0 AS tag_match, epoch_us(TIMESTAMP '2024-02-01') - epoch_us(last_modified) < 7 * 86400000000 AS recently_modified FROM rel JOIN notes USING (id)"),
-    "max_pair_similarity": (max_pair_similarity, f"WITH {CHUNKS} SELECT a.id AS a, b.id AS b, round(max(list_cosine_similarity(a.embedding, b.embedding)), 6) AS similarity FROM chunks a JOIN chunks b ON b.id = a.id + 1 WHERE a.id < 40 AND b.id < 40 GROUP BY a.id, b.id"),
+    "max_pair_similarity": (max_pair_similarity, f"WITH {CHUNKS} SELECT a.id AS a, b.id AS b, round(max(list_cosine_similarity(a.embedding, b.embedding)), 6) AS similarity FROM chunks a JOIN chunks b ON b.id = a.id + 1 GROUP BY a.id, b.id"),
     "minmax_norm": (minmax_norm, f"{LISTS} SELECT id, rank, round(normalized, 6) AS normalized FROM kw"),
     "rrf_fusion": (rrf_fusion, f"{LISTS} SELECT id, keyword_rank, semantic_rank, round(fusion, 9) AS fusion, source FROM fused"),
     "blended_score": (blended_score, f"{LISTS} SELECT id, round(0.7 * fusion + 0.3 * (coalesce(kn, 0) * 0.5 + coalesce(sn, 0) * 0.5) / ((CASE WHEN kn IS NULL THEN 0 ELSE 0.5 END) + (CASE WHEN sn IS NULL THEN 0 ELSE 0.5 END)), 6) AS blended FROM fused"),
@@ -314,10 +350,10 @@ QUERIES: dict[str, tuple] = {
     "title_score": (title_score, TITLE),
     "content_density": (content_density, DENSITY),
     "proximity": (proximity, PROXIMITY),
-    "hybrid_search": (hybrid_search, None),
-    "hybrid_filtered": (hybrid_filtered, None),
-    "hybrid_phases": (hybrid_phases, None),
-    "hybrid_prefiltered": (hybrid_prefiltered, None),
+    "hybrid_search": (hybrid_search, HYBRID),
+    "hybrid_filtered": (hybrid_filtered, HYBRID_FILTERED),
+    "hybrid_phases": (hybrid_phases, HYBRID_PHASES),
+    "hybrid_prefiltered": (hybrid_prefiltered, HYBRID_PREFILTERED),
     "filter_only": (filter_only, FILTER_ONLY),
     "cluster_primaries": (cluster_primaries, CLUSTERS),
     **{name: (_filtered(text), f"WITH {METADATA} SELECT id FROM md WHERE NOT bare AND ({cond})") for name, (text, cond) in FILTERS.items()},

@@ -340,6 +340,16 @@ SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({terms_sql('tex
 
 
 SUBSEQ = "lower(text) SIMILAR TO '.*r.*g.*t.*'"
+SUGGEST = f"""WITH {ITEMS}, hit AS (SELECT id, text, lower(text) AS low, regexp_extract(lower(text), '(?s)r.*?e.*?g.*?t', 0) AS part FROM items WHERE {SUBSEQ.replace("r.*g.*t", "r.*e.*g.*t")} AND len(list_filter(tags, lambda t: t = '#type' OR starts_with(t, '#type/'))) > 0)
+SELECT id, text, round(CASE WHEN regexp_matches(low, '(?:^|[^\\p{{L}}\\p{{N}}])re gt') THEN 1.1 WHEN contains(low, 're gt') THEN 1.0 WHEN length(part) > 0 THEN 4 / length(part) ELSE 0.0 END, 6) AS score FROM hit ORDER BY score DESC, text, id LIMIT 30"""
+
+CONCURRENCY = f"""WITH RECURSIVE {EVENTS}, smp AS (SELECT CAST("user" % 5 AS VARCHAR) AS key, ts, ms * 10 AS ms, event_id % 50 <> 0 AS ok, row_number() OVER (PARTITION BY "user" % 5 ORDER BY ts, ms * 10) AS i FROM ev),
+win AS (SELECT key, i, ts, CASE WHEN bool_or(NOT ok) OVER w OR sum(CASE WHEN ms > 2000 THEN 1 ELSE 0 END) OVER w > count(*) OVER w / 2 THEN -1 WHEN sum(CASE WHEN ms < 500 THEN 1 ELSE 0 END) OVER w > 0.7 * count(*) OVER w AND avg(ms) OVER w < 500 THEN 1 ELSE 0 END AS step FROM smp WINDOW w AS (PARTITION BY key ORDER BY i ROWS 9 PRECEDING)),
+fold AS (SELECT DISTINCT key, 0::BIGINT AS i, 5 AS l, NULL::TIMESTAMP AS changed FROM win
+ UNION ALL SELECT key, i, CASE WHEN free THEN greatest(1, least(10, l + step)) ELSE l END, CASE WHEN free AND greatest(1, least(10, l + step)) <> l THEN ts ELSE changed END
+ FROM (SELECT w.key, w.i, w.ts, w.step, f.l, f.changed, f.changed IS NULL OR epoch_us(w.ts) - epoch_us(f.changed) >= 5000000 AS free FROM fold f JOIN win w ON w.key = f.key AND w.i = f.i + 1))
+SELECT key, count(*) AS samples, min(l) AS least, max(l) AS most FROM fold WHERE i > 0 GROUP BY key"""
+
 QUERIES: dict[str, tuple] = {
     "file_access": (file_access, f"WITH {ACC} SELECT path, opens, epoch_us(first_opened) AS first_us, epoch_us(last_opened) AS last_us FROM acc"),
     "usage_scores": (usage_scores, f"WITH {ACC} SELECT path, round(ln(1 + opens) / ln(1 + greatest((SELECT max(opens) FROM acc), 1)), 6) AS usage, round(exp(-({T0} - epoch_us(last_opened)) / 1e6 / 604800), 6) AS recency FROM acc"),
@@ -363,14 +373,14 @@ QUERIES: dict[str, tuple] = {
     "latency_stats": (latency_stats, f"WITH {LAT} SELECT * FROM lat"),
     "memory_stats": (memory_stats, EVENTS.replace("\nev", "WITH ev") + " SELECT round(avg(ms), 6) AS average, max(ms) AS peak, arg_max(ms, (ts, event_id)) AS current FROM (SELECT * FROM ev ORDER BY ts DESC, event_id DESC LIMIT 100)"),
     "health_score": (health_score, HEALTH),
-    "adaptive_concurrency": (adaptive_concurrency, None),
+    "adaptive_concurrency": (adaptive_concurrency, CONCURRENCY),
     "tag_counts": (tag_counts, f"WITH {ITEMS} SELECT tag, count(*) AS count FROM (SELECT unnest(tags) AS tag FROM items) GROUP BY tag"),
     "tag_match": (tag_match, f"WITH {ITEMS} SELECT id FROM items WHERE len(list_filter(tags, lambda t: t = '#type' OR starts_with(t, '#type/') OR t = '#Brand-1' OR starts_with(t, '#Brand-1/'))) > 0"),
     "or_query": (or_query, f"WITH {ITEMS} SELECT id FROM items WHERE contains(text, 'red') OR contains(text, 'bolt') OR contains(text, 'Nope')"),
     "subsequence_match": (subsequence_match, f"WITH {ITEMS} SELECT id FROM items WHERE {SUBSEQ}"),
-    "palette_suggest": (palette_suggest, None),
-    "palette_sorted_items": (palette_sorted_items, f"WITH {ITEMS} SELECT * FROM (SELECT id, \"group\", row_number() OVER (ORDER BY \"group\", last_used DESC NULLS LAST, seq DESC) AS place FROM (SELECT *, CASE WHEN is_pinned THEN 0 WHEN last_used IS NOT NULL THEN 1 ELSE 2 END AS \"group\" FROM items)) WHERE place <= 200"),
-    "commands": (commands, f"WITH {ITEMS} SELECT id, text FROM items ORDER BY text DESC, id DESC LIMIT 25"),
+    "palette_suggest": (palette_suggest, SUGGEST),
+    "palette_sorted_items": (palette_sorted_items, f"WITH {ITEMS} SELECT id, \"group\", row_number() OVER (ORDER BY \"group\", last_used DESC NULLS LAST, seq DESC) AS place FROM (SELECT *, CASE WHEN is_pinned THEN 0 WHEN last_used IS NOT NULL THEN 1 ELSE 2 END AS \"group\" FROM items)"),
+    "commands": (commands, f"WITH {ITEMS} SELECT id, text FROM items"),
     "pinned_items": (pinned_items, f"WITH {ITEMS} SELECT id, seq AS pos, text FROM items WHERE is_pinned"),
     "hidden_limit": (hidden_limit, f"WITH {ITEMS}, v AS (SELECT id, seq AS pos, seq % 13 = 0 AS p FROM items WHERE seq % 3 <> 0 ORDER BY seq LIMIT 50) SELECT id, pos, row_number() OVER (ORDER BY p DESC, pos) AS place FROM v"),
     "hidden_count": (hidden_count, f"WITH {ITEMS} SELECT count(*) AS hidden FROM items WHERE seq % 3 = 0"),
@@ -378,7 +388,7 @@ QUERIES: dict[str, tuple] = {
     "alias_expand": (alias_expand, f"WITH {NOTES} SELECT path, NULL::VARCHAR AS alias, path AS text FROM notes UNION ALL SELECT path, a, a FROM (SELECT path, unnest([title, source]) AS a FROM notes WHERE id % 3 = 0)"),
     "default_suggestions": (default_suggestions, f"WITH {NOTES}, {ACC.strip()}, f AS (SELECT path, last_opened AS t, 1.0 AS score FROM acc ORDER BY last_opened DESC, path LIMIT 8), r AS (SELECT path, last_modified AS t, 0.8 AS score FROM notes WHERE path NOT IN (SELECT path FROM f) ORDER BY last_modified DESC, path LIMIT 10) SELECT path, epoch_us(t) AS at_us, CAST(score AS DOUBLE) AS score FROM (SELECT * FROM f UNION ALL SELECT * FROM r) ORDER BY score DESC, t DESC, path LIMIT 10"),
     "suffix_exclude": (suffix_exclude, f"WITH {NOTES} SELECT path FROM notes WHERE NOT (ends_with(path, '7.md') OR ends_with(path, '/3.md'))"),
-    "link_candidates": (link_candidates, f"WITH {NOTES} SELECT path, false AS is_unresolved FROM notes WHERE source = 'src1' AND path <> 'src1/en/1.md' UNION ALL SELECT unnest(['missing note', 'other note']), true"),
+    "link_candidates": (link_candidates, f"WITH {NOTES} SELECT path, false AS is_unresolved FROM notes WHERE path <> 'src1/en/1.md' UNION ALL SELECT unnest(['missing note', 'other note']), true"),
     "substring_search": (substring_search, f"WITH {NOTES} SELECT path FROM notes WHERE contains(lower(path), 'en/1') ORDER BY path LIMIT 50"),
     "spread_sample": (spread_sample, "WITH p AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) - 1 AS p, count(*) OVER () AS n FROM documents) SELECT id FROM p WHERE n <= 37 OR p IN (SELECT i * (SELECT count(*) FROM documents) // 37 FROM range(37) t(i))"),
     "change_detection": (change_detection, CHANGE),

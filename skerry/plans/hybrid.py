@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,38 +27,51 @@ class Corpus:
     n_docs: int | None = None
     config: AnalyzerConfig = AnalyzerConfig()
 
+    def counted(self) -> Corpus:
+        """With the number of documents, which is one action."""
+        return replace(self, n_docs=self.n_docs if self.n_docs is not None else self.notes.count())
+
     def indexed(self) -> Corpus:
-        post = self.postings if self.postings is not None else index.postings(self.notes.select("id", "title", "tags", "content"), self.config)
+        """With postings of all fields that the notes have, and term counts: for many queries over one corpus."""
+        whole = self.counted()
+        post = self.postings if self.postings is not None else index.postings(self.notes, self.config)
         df = self.df if self.df is not None else index.document_frequency(self.notes, "content", self.config)
-        n = self.n_docs if self.n_docs is not None else self.notes.count()
-        return Corpus(self.notes, self.chunks, self.signals, post, df, n, self.config)
+        return replace(whole, postings=post, df=df)
+
+    def optional(self, column: str, kind: str = "array<string>") -> Column:
+        return F.coalesce(F.col(column).cast(kind), F.array().cast(kind)) if column in self.notes.columns else F.array().cast(kind)
 
 
 def empty_like(df: DataFrame) -> DataFrame:
     return df.where(F.lit(False))
 
 
-def keyword_page(corpus: Corpus, terms: list[str], limit: int) -> DataFrame:
-    own = corpus.postings.select("term", "id").distinct().groupBy("term").agg(F.count("*").alias("df"))
-    found = index.keyword_search(corpus.postings, corpus.n_docs, terms, tolerance=corpus.config.typo_tolerance, df=own)
+def keyword_page(corpus: Corpus, text: str, limit: int) -> DataFrame:
+    """The best documents for a query's terms, stems and synonyms, as the corpus was told to take them."""
+    terms, near = T.alternatives(T.analyzed(text, corpus.config), corpus.config), corpus.config.typo_tolerance
+    if not terms:
+        none = corpus.notes.select("id", F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("matches"))
+        return ranking.ranked(empty_like(none), "score", "id")
+    post, stats = (corpus.postings, None) if corpus.postings is not None else index.probe(corpus.notes, terms, corpus.config, tolerance=near)
+    own = post.select("term", "id").distinct().groupBy("term").agg(F.count("*").alias("df"))
+    found = index.keyword_search(post, corpus.n_docs, terms, tolerance=near, df=own, stats=stats)
     return ranking.ranked(found.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "id").limit(limit), "score", "id")
 
 
 def semantic_page(corpus: Corpus, vector: list[float], text: str, now: Column, limit: int, threshold: float) -> DataFrame:
     best = ranking.best_chunks(corpus.chunks, vector, key="id").where(F.col("similarity") >= threshold)
-    about = best.join(corpus.notes.select("id", "title", "tags", "last_modified", "size"), "id")
-    headings = F.array().cast("array<string>")
-    rel = scores.semantic_relevance(F.col("similarity"), F.col("title"), F.col("tags"), headings, F.col("last_modified"), F.col("size"), text, now)
+    about = best.join(corpus.notes.select("id", "title", "tags", corpus.optional("headings").alias("headings"), "last_modified", "size"), "id")
+    rel = scores.semantic_relevance(F.col("similarity"), F.col("title"), F.col("tags"), F.col("headings"), F.col("last_modified"), F.col("size"), text, now)
     page = about.select("id", "best_chunk", F.round("similarity", 9).alias("similarity"), F.round(rel, 9).alias("relevance"))
     return ranking.ranked(ranking.semantic_top(page, limit, threshold, "id"), "relevance", "id")
 
 
 def idf_of(corpus: Corpus, words: list[str]) -> dict[str, float]:
     """Weights of the query's words, looked up by their normalized forms; as many rows as words."""
-    rows = {r.term: r.df for r in corpus.df.where(F.col("term").isin(words)).collect()} if words else {}
-    import math
-
-    raw = {w: max(0.0, math.log((corpus.n_docs + 1) / (rows.get(w, 0) + 1))) for w in words}
+    forms = {w: next(iter(T.analyzed(w, corpus.config)), w) for w in words}
+    df = corpus.df.where(F.col("term").isin([*forms.values()])) if corpus.df is not None else index.frequency_of(corpus.notes, [*forms.values()], config=corpus.config)
+    rows = {r.term: r.df for r in df.collect()} if words else {}
+    raw = {w: max(0.0, math.log((corpus.n_docs + 1) / (rows.get(forms[w], 0) + 1))) for w in words}
     total = sum(raw.values())
     return {w: (v / total if total else 1 / len(words)) for w, v in raw.items()}
 
@@ -78,9 +92,8 @@ def search(corpus: Corpus, raw_query: str, vector: list[float] | None, now: Colu
     if len(text) < 2:
         rows = corpus.notes if parsed.filters and not strict else empty_like(corpus.notes)
         return rows.where(keep).orderBy("id").limit(limit).select("id", "path", "title", F.lit(0.0).alias("final"), F.lit("filter").alias("source"))
-    corpus = corpus.indexed()
-    terms = T.query_words(text) and [t for t in _terms(text)]
-    k = keyword_page(corpus, terms, 2 * limit)
+    corpus = corpus.counted()
+    k = keyword_page(corpus, text, 2 * limit)
     s = semantic_page(corpus, vector, text, now, 2 * limit, settings.semantic_threshold) if vector is not None else None
     k = k.select("id", "rank", "normalized", "matches")
     semantic = s.select("id", "rank", "normalized", "similarity") if s is not None else k.select("id", "rank", "normalized", F.lit(0.0).alias("similarity")).where(F.lit(False))
@@ -106,17 +119,9 @@ def search(corpus: Corpus, raw_query: str, vector: list[float] | None, now: Colu
     return page.select("id", "path", "title", "final", "boost", "fusion", "source", "keyword_rank", "semantic_rank", scores.zero(F.col("keyword_score")).alias("keyword_score"), scores.zero(F.col("semantic_score")).alias("semantic_score"), T.first_excerpt(F.col("content"), text).alias("excerpt"), T.match_reason(F.col("source"), title_match, tag_match, F.col("similarity")).alias("reason"), details.alias("details"), "fusion_rank", "in_pool")
 
 
-def _terms(text: str) -> list[str]:
-    import re
-    import unicodedata
-
-    low = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.category(c).startswith("M"))
-    return list(dict.fromkeys(t for t in re.split(r"[^\w'-]+", low.replace("_", " ")) if len(t) >= 2))
-
-
 def phases(corpus: Corpus, raw_query: str, vector: list[float], now: Column, settings: HybridSettings = HybridSettings()) -> DataFrame:
-    """The keyword page, then the complete one, told apart by ``phase``; the index is made once for both."""
-    corpus = corpus.indexed()
+    """The keyword page, then the complete one, told apart by ``phase``; the documents are counted once for both."""
+    corpus = corpus.counted()
     first = search(corpus, raw_query, None, now, settings).withColumn("phase", F.lit("keyword"))
     return first.unionByName(search(corpus, raw_query, vector, now, settings).withColumn("phase", F.lit("complete")))
 

@@ -72,7 +72,9 @@ def _ordered(item: Column, value: str | float, op: str) -> Column:
     if isinstance(value, float):
         number = F.nullif(F.regexp_extract(item, NUMBER_PREFIX, 1), F.lit("")).try_cast("double")
         as_text = test(F.lower(item), F.lit(f"{value:g}"))
-        return F.coalesce(test(number, F.lit(value)), as_text)
+        # A year, or milliseconds, is a date to compare with dates that aren't numbers themselves.
+        when = as_date(F.lit(f"{value:.0f}")) if 1900 <= value <= 2100 and value == int(value) else F.lit(value) if value > 1e10 else F.lit(None).cast("double")
+        return F.coalesce(test(number, F.lit(value)), test(as_date(item), when), as_text)
     return F.coalesce(test(as_date(item), as_date(F.lit(value))), test(F.lower(item), F.lit(value.lower())))
 
 
@@ -100,26 +102,20 @@ def all_filters(filters: tuple[Filter, ...], metadata: Column) -> Column:
 
 
 def glob_regex(pattern: str, legacy: bool = False) -> str:
-    """A path glob as a regular expression. legacy: ** with a slash is anything, and a final ** isn't anchored."""
-    if legacy:
-        body = re.escape(pattern).replace(r"\*\*/", "\0").replace(r"\*\*", "\1").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
-        tail = pattern.endswith("**")
-        return body.replace("\0", ".*").replace("\1", ".*") + ("" if tail else "$")
+    """A path glob as a regular expression over the whole path.
+
+    legacy: the loose reading, in which a double star takes in separators only before a slash, a pattern
+    counts from any separator on unless it begins with one or with a double star and a slash, and a final
+    double star leaves the end open.
+    """
+    anything, segments = (".*", "[^/]*") if legacy else ("(?:[^/]+/)*", ".*")
     out, i = [], 0
     while i < len(pattern):
-        if pattern.startswith("**/", i):
-            out.append("(?:[^/]+/)*")
-            i += 3
-        elif pattern.startswith("**", i):
-            out.append(".*")
-            i += 2
-        elif pattern[i] in "*?":
-            out.append("[^/]*" if pattern[i] == "*" else "[^/]")
-            i += 1
-        else:
-            out.append(re.escape(pattern[i]))
-            i += 1
-    return "^" + "".join(out) + "$"
+        step, part = next(((n, p) for n, head, p in ((3, "**/", anything), (2, "**", segments), (1, "*", "[^/]*"), (1, "?", "[^/]")) if pattern.startswith(head, i)), (1, re.escape(pattern[i])))
+        out.append(part)
+        i += step
+    start = "^" if not legacy or pattern.startswith(("**/", "/")) else "(?:^|/)"
+    return start + "".join(out) + ("" if legacy and pattern.endswith("**") else "$")
 
 
 def excluded(path: Column, patterns: list[str], legacy: bool = False) -> Column:
