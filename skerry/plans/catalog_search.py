@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.functions import scores
+from skerry.functions import text as T
 from skerry.operators import graph, index, ranking, usage
 from skerry.plans import hybrid
 from skerry.plans import query as Q
@@ -51,21 +52,25 @@ def _search(prefix: bool, tolerance: int):
     return run
 
 
-def post_sql() -> str:
-    cut = "CASE WHEN length(content) <= 2000 THEN content WHEN instr(left(content, 2000), ' ') > 0 AND 2000 - instr(reverse(left(content, 2000)), ' ') > 1600 THEN left(content, CAST(2000 - instr(reverse(left(content, 2000)), ' ') AS INTEGER)) ELSE left(content, 2000) END"
+def post_sql(cut: bool = True, terms=terms_sql, more: str = "") -> str:
+    head = "CASE WHEN length(content) <= 2000 THEN content WHEN instr(left(content, 2000), ' ') > 0 AND 2000 - instr(reverse(left(content, 2000)), ' ') > 1600 THEN left(content, CAST(2000 - instr(reverse(left(content, 2000)), ' ') AS INTEGER)) ELSE left(content, 2000) END"
     return f"""{NOTES}, fields AS (
-  SELECT id, 'title' AS field, 3.0 AS boost, {terms_sql('title')} AS t FROM notes
-  UNION ALL SELECT id, 'tags', 1.5, {terms_sql("array_to_string(tags, ' ')")} FROM notes
-  UNION ALL SELECT id, 'content', 1.0, {terms_sql(cut)} FROM notes
+  SELECT id, 'title' AS field, 3.0 AS boost, {terms('title')} AS t FROM notes
+  UNION ALL SELECT id, 'tags', 1.5, {terms("array_to_string(tags, ' ')")} FROM notes
+  UNION ALL SELECT id, 'content', 1.0, {terms(head if cut else 'content')} FROM notes {more}
 ), post AS (SELECT id, field, boost, field_len, term, count(*) AS tf FROM (SELECT id, field, boost, len(t) AS field_len, unnest(t) AS term FROM fields) GROUP BY ALL),
 pdf AS (SELECT term, count(DISTINCT id) AS df FROM post GROUP BY term), avgs AS (SELECT field, avg(field_len) AS avg_len FROM (SELECT DISTINCT id, field, field_len FROM post) GROUP BY field), n AS (SELECT count(*) AS n FROM notes)"""
 
 
-def search_sql(prefix: bool, tolerance: int) -> str:
-    kinds = f"WHEN term = q THEN 1.0 {'WHEN starts_with(term, q) THEN 0.5' if prefix else ''} {f'WHEN abs(length(term) - length(q)) <= {tolerance} AND levenshtein(term, q) <= {tolerance} THEN 0.2' if tolerance else ''}"
-    return f"""WITH {post_sql()}, hit AS (SELECT q, term, df, CASE {kinds} END AS w FROM pdf, (SELECT unnest(['{A}', '{B}']) AS q)),
+def search_sql(prefix: bool, tolerance: int, asked: dict[str, list[str]] | None = None, **fields) -> str:
+    """asked: query terms and what stands for each of them."""
+    near = lambda test: f"len(list_filter(alts, lambda a: {test})) > 0"
+    kinds = f"WHEN list_contains(alts, term) THEN 1.0 {'WHEN ' + near('starts_with(term, a)') + ' THEN 0.5' if prefix else ''} {'WHEN ' + near(f'abs(length(term) - length(a)) <= {tolerance} AND levenshtein(term, a) <= {tolerance}') + ' THEN 0.2' if tolerance else ''}"
+    asked = asked or {A: [A], B: [B]}
+    rows = ", ".join(f"('{q}', {alts!r})" for q, alts in asked.items())
+    return f"""WITH {post_sql(**fields)}, hit AS (SELECT q, term, df, CASE {kinds} END AS w FROM pdf, (VALUES {rows}) v(q, alts)),
 found AS (SELECT p.id, q, p.term, boost * w * greatest(0, ln((n + 1) / (df + 1))) * (0.5 + tf * 2.2 / (tf + 1.2 * (0.3 + 0.7 * field_len / avg_len))) AS v FROM post p JOIN hit h ON p.term = h.term AND w IS NOT NULL JOIN avgs USING (field), n)
-SELECT id, round(sum(v), 6) AS score, array_to_string(list_sort(list(DISTINCT term)), ',') AS matches FROM found GROUP BY id HAVING count(DISTINCT q) = 2"""
+SELECT id, round(sum(v), 6) AS score, array_to_string(list_sort(list(DISTINCT term)), ',') AS matches FROM found GROUP BY id HAVING count(DISTINCT q) = {len(asked)}"""
 
 
 def _signals(s, d):
@@ -84,6 +89,41 @@ sig AS (SELECT CAST(acc.path AS BIGINT) AS id, ln(1 + opens) / ln(1 + greatest((
   coalesce(least(bounces / opens, 1) * exp(-(epoch_us(TIMESTAMP '2024-02-01') - epoch_us(last_bounce)) / 1e6 / 1209600), 0) AS bounce FROM acc LEFT JOIN bnc USING (path))"""
 
 
+STEMMED, NAMED = AnalyzerConfig(stemming=True), AnalyzerConfig(synonyms=("ention=thering, houn", "x="))
+
+
+def stemmed_sql(x: str) -> str:
+    base = "(CASE WHEN length(t) > 3 THEN regexp_replace(t, chr(39) || 's$', '') ELSE t END)"
+    cut = f"CASE WHEN length(t) <= 3 OR length({base}) <= 3 THEN {base} WHEN ends_with({base}, 'es') AND length({base}) > 4 THEN left({base}, -2) WHEN ends_with({base}, 's') THEN left({base}, -1) ELSE {base} END"
+    return f"list_transform({terms_sql(x)}, lambda t: {cut})"
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    return found.select("id", F.round("score", 6).alias("score"), F.array_join("matches", ",").alias("matches"))
+
+
+def keyword_stemmed(s, d):
+    return _shown(_found(s, d, terms=T.analyzed("entions anins", STEMMED), config=STEMMED))
+
+
+def keyword_synonyms(s, d):
+    return _shown(_found(s, d, terms=T.alternatives(T.analyzed(QUERY, NAMED), NAMED), config=NAMED))
+
+
+def keyword_headings(s, d):
+    """Headings and aliases are fields too, with boosts of their own."""
+    n = notes(s, d)
+    return _shown(_found(s, d, docs=n.withColumn("headings", F.array(F.regexp_extract("content", r"^\S+ (\S+)", 1))).withColumn("aliases", F.array("title", "source"))))
+
+
+HEADINGS = rf"UNION ALL SELECT id, 'headings', 2.0, {terms_sql('h')} FROM (SELECT id, regexp_extract(content, '^\S+ (\S+)', 1) AS h FROM notes) UNION ALL SELECT id, 'aliases', 2.0, {terms_sql('a')} FROM (SELECT id, title || ' ' || source AS a FROM notes)"
+
+
+def keyword_whole(s, d):
+    """Over whole texts, not their first 2,000 characters."""
+    return _shown(_found(s, d, config=AnalyzerConfig(index_chars=0)))
+
+
 def combined_score(s, d):
     found = _found(s, d).join(_signals(s, d), "id", "left")
     total = scores.combined(F.round("score", 9), F.col("last_opened"), scores.zero(F.col("usage")), F.lit(0.0), F.col("bounce"), now())
@@ -337,6 +377,10 @@ QUERIES: dict[str, tuple] = {
     "keyword_exact": (_search(False, 0), search_sql(False, 0)),
     "keyword_prefix": (keyword_typo_free, search_sql(True, 0)),
     "keyword_fuzzy": (_search(True, 1), search_sql(True, 1)),
+    "keyword_stemmed": (keyword_stemmed, search_sql(True, 1, terms=stemmed_sql)),
+    "keyword_synonyms": (keyword_synonyms, search_sql(True, 1, {A: [A, "thering", "houn"], B: [B]})),
+    "keyword_headings": (keyword_headings, search_sql(True, 1, more=HEADINGS)),
+    "keyword_whole": (keyword_whole, search_sql(True, 1, cut=False)),
     "combined_score": (combined_score, COMBINED),
     "cosine_topk": (cosine_topk, f"WITH {Q0} SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 6) AS similarity FROM embeddings, q ORDER BY similarity DESC, vec_id LIMIT 20"),
     "best_chunk": (best_chunk, f"WITH {BEST} SELECT id, round(similarity, 6) AS similarity, best_chunk FROM best"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime
 
@@ -32,34 +33,59 @@ class SearchService:
         rows = self.store.read("events")
         return rows if rows is not None else self.spark.createDataFrame([], EVENTS)
 
-    def index(self, notes: DataFrame) -> None:
-        """Put notes into the store and replace their postings; term counts follow by the difference."""
+    def _terms(self, notes: DataFrame, sign: int) -> DataFrame:
+        each = notes.select(F.explode(F.array_distinct(index.tokenize(F.col("content"), self.settings.analyzer))).alias("term"))
+        return each.groupBy("term").agg((F.count("*") * sign).alias("df"))
+
+    def _known(self, ids: DataFrame) -> DataFrame:
+        return self._notes().join(ids.select("id"), "id", "left_semi")
+
+    def index(self, notes: DataFrame, progress: Callable[[str], None] = lambda step: None) -> None:
+        """Put notes into the store and their postings beside the others; term counts follow by the difference.
+
+        progress is told each step when it is done.
+        """
         if self.paused:
             return
         fresh = maintenance.indexable(notes.select(*[c.split()[0] for c in NOTES.split(", ")]), self.settings.max_file_size)
-        terms = lambda d: d.select("id", F.explode(F.array_distinct(index.tokenize(F.col("content"), self.settings.analyzer))).alias("term"))
-        old = self._notes().join(fresh.select("id"), "id", "left_semi")
-        counts = self.store.read("term_df")
-        before = counts if counts is not None else self.spark.createDataFrame([], "term string, df long")
-        delta = terms(fresh).select("term", F.lit(1).alias("d")).unionByName(terms(old).select("term", F.lit(-1).alias("d")))
-        df = before.select("term", F.col("df").alias("d")).unionByName(delta).groupBy("term").agg(F.sum("d").alias("df")).where("df > 0")
-        new = index.postings(fresh, self.settings.analyzer)
-        kept = self.store.read("postings")
-        post = new if kept is None else maintenance.updated_postings(kept, new, fresh.select("id"))
-        self.store.save_index(post, df)
+        post = index.postings(fresh, self.settings.analyzer)
+        if self.store.read("postings") is None:
+            self.store.save_index(post, self._terms(fresh, 1))
+        else:
+            change = self._terms(fresh, 1).unionByName(self._terms(self._known(fresh), -1))
+            self.store.change_index(post, fresh, change.groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0"))
+        progress("index")
         self.store.put("notes", fresh)
+        progress("notes")
+
+    def trigger_indexing(self, files: DataFrame, progress: Callable[[str], None] = lambda step: None) -> None:
+        """Index what is new or has changed among files."""
+        self.index(files.join(self.stale(files).select("id"), "id", "left_semi"), progress)
 
     def remove(self, ids: DataFrame) -> None:
         """Deletions pass even while indexing is paused."""
-        gone = self._notes().join(ids.select("id"), "id", "left_semi")
-        kept = self.store.read("postings")
-        counts = self.store.read("term_df")
-        if kept is not None and counts is not None:
-            lost = gone.select(F.explode(F.array_distinct(index.tokenize(F.col("content"), self.settings.analyzer))).alias("term")).groupBy("term").agg(F.count("*").alias("l"))
-            df = counts.join(lost, "term", "left").select("term", (F.col("df") - F.coalesce("l", F.lit(0))).alias("df")).where("df > 0")
-            self.store.save_index(kept.join(ids.select("id"), "id", "left_anti"), df)
+        gone = self._known(ids)
+        if self.store.read("postings") is not None:
+            none = index.postings(self._notes().where(F.lit(False)), self.settings.analyzer)
+            self.store.change_index(none, ids, self._terms(gone, -1))
         self.store.delete(ids, ("notes",))
 
+    def rename(self, old: str, new: str, path: str | None = None) -> None:
+        """A note's new id, with its content as it is."""
+        one = self._notes().where(F.col("id") == old).withColumn("id", F.lit(new)).withColumn("path", F.lit(path or new))
+        moved = self.spark.createDataFrame(one.collect(), one.schema)  # one note
+        self.remove(self.spark.createDataFrame([(old,)], "id string"))
+        self.index(moved)
+
+    def force_save(self) -> None:
+        """Fold all batches into one index, as after a rebuild."""
+        if (found := self.store.load_index()) is not None:
+            self.store.save_index(*found)
+
+    def shutdown(self) -> None:
+        self.force_save()
+        self.paused = True
+
     def pause(self) -> None:
         self.paused = True
 
@@ -74,7 +100,7 @@ class SearchService:
     def record(self, rows: list[tuple]) -> None:
         """Events (event_id, ts, user, kind, path, query): opens, searches, modals."""
         fresh = self.spark.createDataFrame(rows, EVENTS)
-        self.store.write("events", self._events().unionByName(fresh))
+        self.store.append("events", fresh)
 
     def recompute_graph(self, edges: DataFrame, at: datetime) -> None:
         s = self.settings
@@ -118,4 +144,4 @@ class SearchService:
         return maintenance.index_stats(self._notes(), F.col("last_modified"))
 
     def clear(self) -> None:
-        self.store.clear(("notes", "postings", "term_df", "events", "page_rank"))
+        self.store.clear(("notes", "postings", "term_df", "changed", "events", "page_rank"))

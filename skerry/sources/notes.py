@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +45,31 @@ def list_files(spark: SparkSession, folder: str, excluded: tuple[str, ...] = ())
     return raw
 
 
+def write_notes(rows: DataFrame, folder: str) -> DataFrame:
+    """Create the files of (path, content) that aren't there: (path, created). ``.md`` is appended where it lacks.
+
+    A path that isn't valid creates nothing. Each task writes its own rows; the folder is one that all tasks share.
+    """
+    schema = pa.schema([("path", pa.string()), ("created", pa.bool_())])
+    named = rows.where(T.valid_path(F.col("path"))).select(F.when(F.col("path").endswith(".md"), F.col("path")).otherwise(F.concat("path", F.lit(".md"))).alias("path"), F.coalesce("content", F.lit("")).cast("binary").alias("content"))
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            made = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                at = f"{base}/{path}"
+                new = files.get_file_info(at).type == fs.FileType.NotFound
+                if new:
+                    files.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                    with files.open_output_stream(at) as out:
+                        out.write(content.as_py())
+                made.append(new)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.bool_())], schema=schema)
+
+    return named.mapInArrow(put, "path string, created boolean")
+
+
 def link_table(notes: DataFrame) -> DataFrame:
     return notes.select(F.col("path").alias("src"), F.explode("links").alias("target"))
 
@@ -53,8 +81,13 @@ def generated(spark: SparkSession, count: int, path: str = "notes", ext: str = "
     return spark.range(count).select(F.concat(F.lit(path + "/"), put(name), F.lit("." + ext)).alias("path"), put(text).alias("content"))
 
 
-def write_embeddings(chunks: DataFrame, folder: str, model: str, dimension: int) -> None:
-    """Chunk vectors with the cache's version, model and dimension in each row's columns."""
+def write_embeddings(chunks: DataFrame, folder: str, model: str, dimension: int, files: DataFrame | None = None) -> None:
+    """Chunk vectors with the cache's version, model and dimension in each row's columns.
+
+    files: (path, last_modified) of those that exist; chunks of others, or of files without a time, are left out.
+    """
+    if files is not None:
+        chunks = chunks.join(files.where("last_modified is not null").select("path"), "path", "left_semi")
     chunks.withColumns({"version": F.lit(CACHE_VERSION), "model": F.lit(model), "dimension": F.lit(dimension)}).write.mode("overwrite").parquet(folder)
 
 
@@ -65,12 +98,35 @@ def read_embeddings(spark: SparkSession, folder: str, files: DataFrame, dimensio
     return rows.join(live, "path").where(F.col("file_time") <= F.col("last_modified")).drop("file_time", "version", "model", "dimension")
 
 
-def embedded(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]]) -> DataFrame:
+def with_retries(call: Callable, attempts: int = 3, wait: Callable[[float], None] = time.sleep) -> Callable:
+    """A provider's function that is tried so many times, 2, 4, ... seconds apart; the last error is raised."""
+
+    def run(*args):
+        for n in range(1, attempts + 1):
+            try:
+                return call(*args)
+            except Exception:
+                if n == attempts:
+                    raise
+                wait(2.0**n)
+
+    return run
+
+
+def model_is_there(models: Callable[[], list[str]], name: str) -> bool:
+    """The connection probe: a provider's list of models holds the configured one; a failing provider has none."""
+    try:
+        return any(m == name or m.split(":")[0] == name for m in models())
+    except Exception:
+        return False
+
+
+def embedded(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], attempts: int = 3) -> DataFrame:
     """Chunks with vectors from a provider, batch by batch. The provider is any function of a list of texts."""
 
     def run(pdfs: Iterator) -> Iterator:
         for pdf in pdfs:
-            yield pdf.assign(embedding=embed(pdf["text"].tolist()))
+            yield pdf.assign(embedding=with_retries(embed, attempts)(pdf["text"].tolist()))
 
     return chunks.mapInPandas(run, ", ".join(f"{n} {t}" for n, t in chunks.dtypes) + ", embedding array<float>")
 

@@ -42,6 +42,11 @@ class Store:
             fs, p = self._fs(f"{self.folder}/{table}/v{old}")
             fs.delete(p, True)
 
+    def append(self, table: str, rows: DataFrame) -> None:
+        """Add rows to the last version without reading or writing what it holds."""
+        v = self._versions(table)
+        rows.write.mode("append").parquet(f"{self.folder}/{table}/v{v[-1] if v else 1}")
+
     def put(self, table: str, rows: DataFrame, key: str = "id") -> None:
         now = self.read(table)
         self.write(table, rows.drop("seq") if now is None else upserted(now, rows, key))
@@ -58,14 +63,36 @@ class Store:
             fs.delete(p, True)
 
     def save_index(self, postings: DataFrame, df: DataFrame) -> None:
-        """Postings and term counts in order of terms, so that a query's terms prune files and row groups."""
-        for name, rows in (("postings", postings), ("term_df", df)):
-            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        """Postings and term counts in order of terms, so that a query's terms prune files and row groups.
+
+        Each posting tells the generation that wrote it; this one is 0 and replaces all others.
+        """
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        for name, rows in (("postings", postings.withColumn("gen", F.lit(0).cast("long"))), ("term_df", df)):
             self.write(name, rows.repartitionByRange(n, "term").sortWithinPartitions("term"))
+        self.clear(("changed",))
+
+    def change_index(self, postings: DataFrame, ids: DataFrame, df: DataFrame) -> None:
+        """Postings of a batch, and the ids whose former postings end with it: written beside what is there.
+
+        ``df`` holds the changes of term counts, a row for each term that has any. ``save_index`` folds all in again.
+        """
+        known = self.read("changed")
+        gen = (known.agg(F.max("gen").alias("g")).first().g or 0 if known is not None else 0) + 1
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.append("postings", postings.withColumn("gen", F.lit(gen).cast("long")).repartitionByRange(n, "term").sortWithinPartitions("term"))
+        whole = self.read("term_df").unionByName(df).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        self.write("term_df", whole.repartitionByRange(n, "term").sortWithinPartitions("term"))
+        self.append("changed", ids.select("id").distinct().withColumn("gen", F.lit(gen).cast("long")))
 
     def load_index(self) -> tuple[DataFrame, DataFrame] | None:
-        post, df = self.read("postings"), self.read("term_df")
-        return None if post is None or df is None else (post, df)
+        post, df, changed = self.read("postings"), self.read("term_df"), self.read("changed")
+        if post is None or df is None:
+            return None
+        if changed is not None:
+            last = changed.groupBy("id").agg(F.max("gen").alias("last"))
+            post = post.join(last, "id", "left").where("last is null or gen = last").drop("last")
+        return post.drop("gen"), df
 
     def save_ranks(self, ranks: DataFrame, at) -> None:
         self.write("page_rank", ranks.withColumn("computed_at", at))

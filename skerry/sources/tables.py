@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,3 +28,19 @@ def spread(df: DataFrame) -> DataFrame:
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that driver and executors share; it goes when the driver's Python ends."""
+    from skerry.operators.graph import _shared
+
+    _shared(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex[:12]}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+
+    def drop() -> None:
+        with contextlib.suppress(Exception):  # the session may be stopped by then
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    atexit.register(drop)
+    return folder

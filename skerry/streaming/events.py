@@ -14,13 +14,16 @@ BOUNCES = "key string, path string, ts timestamp, after double"
 
 
 class BounceProcessor(StatefulProcessor):
-    """Keeps a key's latest open; a modal soon after it is a bounce, and any modal clears it."""
+    """Keeps a key's latest open; a modal soon after it is a bounce, and any modal clears it.
 
-    def __init__(self, seconds: float = 5.0, open_kind: str = "click", modal_kind: str = "view"):
-        self.seconds, self.open_kind, self.modal_kind = seconds, open_kind, modal_kind
+    What is older than ``keep`` seconds by the clock goes, so keys that never come back hold no state.
+    """
+
+    def __init__(self, seconds: float = 5.0, open_kind: str = "click", modal_kind: str = "view", keep: float = 86400.0):
+        self.seconds, self.open_kind, self.modal_kind, self.keep = seconds, open_kind, modal_kind, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", StructType([StructField("path", StringType()), StructField("us", LongType())]))
+        self.last = handle.getValueState("last", StructType([StructField("path", StringType()), StructField("us", LongType())]), ttl_duration_ms=int(self.keep * 1000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out = []
@@ -47,7 +50,7 @@ class BounceProcessor(StatefulProcessor):
 def bounce_stream(events: DataFrame, key: str = "user", seconds: float = 5.0) -> DataFrame:
     """(event_id, ts, kind, path, key) to bounces, one state of a path and a time for each key."""
     rows = events.where(F.col("kind").isin("click", "view")).withColumn("ts", F.col("ts").cast("timestamp"))
-    return rows.groupBy(key).transformWithStateInPandas(BounceProcessor(seconds), BOUNCES, "Append", "None")
+    return rows.groupBy(key).transformWithStateInPandas(BounceProcessor(seconds), BOUNCES, "Append", "ProcessingTime")
 
 
 def burst_stream(events: DataFrame, gap: str = "1 second", late: str = "10 minutes", key: str = "path") -> DataFrame:

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+import random
+import time
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions import scores
 from skerry.functions import text as T
+from skerry.operators import index
 from skerry.plans import query as Q
 from skerry.session import AnalyzerConfig, HybridSettings, ScoreWeights
 
@@ -116,6 +120,32 @@ def test_covering_span(spark, texts):
         assert got == [brute_span(t, words) for t in texts]
 
 
+def test_long_texts_cost_in_proportion(spark):
+    """Twice the words, at most two and a half times the time, and seconds for 20,000 words."""
+    r, took = random.Random(1), []
+    for n in (20_000, 40_000):
+        t = " ".join(r.choice(["alpha", "beta", "aba", "x"]) for _ in range(n))
+        df = spark.createDataFrame([(t,)], "t string").select(scores.proximity(F.col("t"), "alpha beta aba"), scores.proximity(F.col("t"), "aba alpha", [("aba alpha", True)])).persist()
+        began = time.time()
+        df.collect()
+        took.append(time.time() - began)
+    assert max(took) < 20 and took[1] < 2.5 * took[0] + 1
+
+
+def test_terms_of_queries_are_those_of_texts(spark):
+    q = "The caf\u00e9's Notes_and #tags uses \u0391\u03ac \u0439 na\u00efve https://x.org/a it's \u1e69"
+    for config in (AnalyzerConfig(), AnalyzerConfig(stemming=True), AnalyzerConfig(fold_accents=False)):
+        got = spark.createDataFrame([(q,)], "t string").select(F.array_distinct(T.tokenize(F.col("t"), config))).first()[0]
+        assert T.analyzed(q, config) == got
+    assert T.alternatives(["car"], AnalyzerConfig(synonyms=("car=auto, voiture", "auto=x"))) == {"car": ["car", "auto", "voiture"]}
+
+
+@pytest.mark.parametrize("t", ["", "a", "bb a bb a\u00e9 bb a a", "x " * 50])
+def test_counts_of_terms(spark, t):
+    got = spark.createDataFrame([(t,)], "t string").select(index.counted(F.filter(F.split("t", " "), lambda x: x != ""))).first()[0]
+    assert {r.term: r.tf for r in got} == Counter(t.split())
+
+
 def test_span_score(spark):
     assert value(spark, scores.span_score(F.lit(20), 10)) == pytest.approx(0.590616, abs=1e-6)
     assert value(spark, scores.span_score(F.lit(10), 10)) == 1.0

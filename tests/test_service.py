@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from skerry.functions import text as T
 from skerry.operators import maintenance, palette, telemetry, usage
 from skerry.service import NOTES, SearchService
-from skerry.session import AnalyzerConfig
+from skerry.session import AnalyzerConfig, Settings
+from skerry.sources import notes as files
 
 NOW = datetime(2024, 1, 10)
 
@@ -49,6 +50,52 @@ def test_service(spark, tmp_path):
     assert s.stats().first().document_count == 0
 
 
+def test_batches_and_upkeep(spark, tmp_path):
+    s, told = SearchService(spark, f"file://{tmp_path}/s"), []
+    found = lambda q: sorted(r.id for r in s.search(q, NOW).collect())
+    s.index(notes(spark, *((str(i), f"Note {i}", f"machine number{i} learning", "x") for i in range(6))), told.append)
+    for i in range(3):
+        s.index(notes(spark, (str(i), f"Note {i}", f"kitchen number{i}", "x")), told.append)
+    assert told == ["index", "notes"] * 4 and found("machine") == ["3", "4", "5"] and found("kitchen") == ["0", "1", "2"]
+    s.rename("3", "moved")
+    s.remove(spark.createDataFrame([("0",), ("5",)], "id string"))
+    before = found("machine"), found("kitchen"), sorted(map(tuple, s.store.load_index()[1].collect()))
+    assert before[:2] == (["4", "moved"], ["1", "2"])
+    for i in range(2):  # events are only added
+        s.record([(i, NOW - timedelta(days=1), "u", "click", "4", None)])
+    assert s.store._versions("events") == [1] and s._events().count() == 2
+    s.shutdown()
+    assert s.store.read("changed") is None and s.paused
+    assert (found("machine"), found("kitchen"), sorted(map(tuple, s.store.load_index()[1].collect()))) == before
+    s.resume()
+    s.trigger_indexing(notes(spark, ("9", "New", "machine too", "x")))
+    assert found("machine") == ["4", "9", "moved"]
+
+
+def test_search_takes_the_settings(spark, tmp_path):
+    s = SearchService(spark, f"file://{tmp_path}/s", Settings(analyzer=AnalyzerConfig(stemming=True, synonyms=("car=auto",))))
+    s.index(notes(spark, ("a", "x", "many cars there", "x"), ("b", "y", "one auto", "x"), ("c", "z", "nothing", "x")))
+    assert sorted(r.id for r in s.search("cars", NOW).collect()) == ["a", "b"]
+    plain = SearchService(spark, f"file://{tmp_path}/p", Settings(analyzer=AnalyzerConfig(fold_accents=False, typo_tolerance=0)))
+    plain.index(notes(spark, ("a", "x", "naïve", "x"), ("b", "y", "naive", "x")))
+    assert [r.id for r in plain.search("naïve", NOW).collect()] == ["a"]
+
+
+def test_provider_is_tried_again():
+    waits, calls = [], []
+
+    def embed(texts):
+        calls.append(texts)
+        if len(calls) < 3:
+            raise OSError
+        return [[1.0]]
+
+    assert files.with_retries(embed, 3, waits.append)(["t"]) == [[1.0]] and waits == [2.0, 4.0]
+    with pytest.raises(OSError):
+        files.with_retries(lambda: (_ for _ in ()).throw(OSError()), 2, waits.append)()
+    assert files.model_is_there(lambda: ["a:latest", "b"], "a") and not files.model_is_there(lambda: ["b"], "a") and not files.model_is_there(lambda: 1 / 0, "a")
+
+
 @pytest.mark.parametrize("per", [None, "user"])
 def test_bounces_do_not_depend_on_slots(spark, per):
     rows = [(i, datetime(2024, 1, 1) + timedelta(seconds=7 * i % 1000 * 1.3), f"u{i % 3}", "click" if i % 2 else "view", str(i)) for i in range(600)]
