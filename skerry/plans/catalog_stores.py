@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from skerry.functions import scores
 from skerry.functions import text as T
+from skerry.functions.sql import register
 from skerry.operators import graph, index, palette, ranking, telemetry, usage
 from skerry.plans import query as Q
-from skerry.plans.catalog_search import A, B, BEST, CLUSTERS, PROXIMITY, search_sql, vector_zero
+from skerry.plans.catalog_search import A, B, BEST, CLUSTERS, PROXIMITY, Q0, search_sql, vector_zero
 from skerry.plans.catalog_text import MD, _pages
 from skerry.plans.catalog_usage import ACC, PAGERANK
-from skerry.plans.views import CHUNKS, EVENTS, ITEMS, NOTES, QUERY, TERMS, chunks, events, items, notes, now
+from skerry.plans.views import CHUNKS, EVENTS, ITEMS, NOTES, QUERY, TERMS, chunks, events, items, notes, now, table
 from skerry.session import HybridSettings, ScoreWeights
 from skerry.sources import notes as files
 from skerry.sources.store import Store
@@ -200,7 +203,17 @@ def glob_loose(s, d):
     return notes(s, d).where(Q.excluded(F.col("path"), ["en/*", "**/de/1**", "rc1/fr/?.md"], legacy=True)).select("id")
 
 
+def cosine_sql(s, d):
+    """Similarity and its share of a fusion, by functions in SQL text."""
+    register(s)
+    view = f"vectors_{uuid.uuid4().hex[:8]}"
+    table(s, d, "embeddings").createOrReplaceTempView(view)
+    q = ", ".join(f"{x!r}D" for x in vector_zero(s, d))
+    return s.sql(f"SELECT vec_id, round(cosine(embedding, array({q})), 6) AS similarity, round(squash(cosine(embedding, array({q}))), 6) AS squashed, round(rank_fusion(vec_id, 60, 0.5D), 9) AS fusion FROM {view}")
+
+
 QUERIES: dict[str, tuple] = {
+    "cosine_sql": (cosine_sql, f"WITH {Q0}, c AS (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) AS c FROM embeddings, q) SELECT vec_id, round(c, 6) AS similarity, round(CASE WHEN c > 0 THEN c / (c + 1) ELSE 0 END, 6) AS squashed, round(0.5::DOUBLE / (60 + vec_id), 9) AS fusion FROM c"),
     "note_files": (note_files, rf"WITH {MD} SELECT 'd' || page_id % 7 || '/p' || page_id || '.md' AS path, 'p' || page_id AS title, CAST(len(regexp_extract_all(content, '(?m)^#{{1,6}}\s+(.+)$', 1)) AS INTEGER) AS headings, 0 AS links, CAST(strlen(content) AS BIGINT) AS size, md5(content) AS h FROM md"),
     "file_listing": (file_listing, rf"WITH {MD} SELECT 'd' || page_id % 7 || '/p' || page_id || '.md' AS path, CAST(strlen(content) AS BIGINT) AS size FROM md WHERE page_id % 10 <> 3"),
     "note_snippets": (note_snippets, f"WITH {NOTES} SELECT id, CASE WHEN id % 3 <> 0 AND title <> '' THEN title ELSE path END AS snippet FROM notes"),
