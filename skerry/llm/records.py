@@ -116,6 +116,20 @@ def read_frames(folder: str, name: str) -> Iterator[tuple[int | None, np.ndarray
             yield parse(unframe(head, f.read))
 
 
+def read_indexed(folder: str, name: str, block: int = 1 << 15) -> Iterator[tuple[int | None, np.ndarray]]:
+    """Keys and ids of a file by way of its offset index, in the index's order; both must tell the same."""
+    fs, base = open_folder(folder)
+    size = struct.calcsize(ENTRY)
+    with fs.open_input_stream(f"{base}/{name}.idx") as index, fs.open_input_file(f"{base}/{name}.rec") as f:
+        while entries := index.read(size * block):
+            for key, at, n in struct.iter_unpack(ENTRY, entries):
+                f.seek(at)
+                own, ids = parse(unframe(f.read(struct.calcsize(HEAD)), f.read))
+                if (own or 0) != key or len(ids) != n:
+                    raise ValueError("a record isn't what the index tells")
+                yield own, ids
+
+
 def read_at(folder: str, name: str, numbers: list[int]) -> list[tuple[int | None, np.ndarray]]:
     """Single records in any order, by way of the offset index: what a shuffled reader does."""
     fs, base = open_folder(folder)
@@ -134,7 +148,7 @@ def parse(sequence: bytes) -> tuple[int | None, np.ndarray]:
 
 
 def read_digests(spark: SparkSession, records: RecordFiles) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of every record, read back from the files."""
+    """``doc_id, start, n_tokens, ids_crc32`` of every record, read back from the files by their indexes."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
     folder = records.folder
 
@@ -142,7 +156,7 @@ def read_digests(spark: SparkSession, records: RecordFiles) -> DataFrame:
         for batch in batches:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows: list[tuple] = []
-                for key, ids in read_frames(folder, name):
+                for key, ids in read_indexed(folder, name):
                     rows.append((key, start, len(ids), zlib.crc32(ids.astype("<u4"))))
                     start += len(ids)
                     if len(rows) == READ_ROWS:
