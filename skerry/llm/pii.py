@@ -1,7 +1,7 @@
 """Operator 6: personal data by patterns, checksums and context words.
 
 Patterns propose spans, validators confirm them (Luhn for cards, mod-97 for IBANs, ranges and digit
-counts for the rest), and words near a span move its score. Spans of the base kinds (email, ip, card,
+counts for the rest), and words near a span raise or lower its score. Spans of the base kinds (email, ip, card,
 phone) that pass their validator always stay; spans of the added kinds stay from ``KEEP`` on.
 
 Positions are code points, ends exclusive. Defined cases: a null or empty text has no spans; every row
@@ -25,7 +25,6 @@ from skerry.sources.tables import read_table
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: Runs of digits are taken whole, which finds what a plain scan finds, in linear time.
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -35,7 +34,7 @@ IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 NOT_DIGIT = re.compile(r"[^0-9]")
 
-#: Words that make a kind likelier nearby, in the languages of the corpus; scores.
+#: Words nearby that make a kind likelier, in the languages of the corpus, or less likely; scores.
 CONTEXT = {
     "email": ("mail", "email", "e-mail", "contact", "courriel", "correo", "kontakt"),
     "ip": ("ip", "address", "server", "host", "adresse"),
@@ -44,8 +43,17 @@ CONTEXT = {
     "iban": ("iban", "bank", "account", "konto", "compte", "cuenta"),
     "ssn": ("ssn", "social", "security"),
 }
+AGAINST = {
+    "email": ("noreply",),
+    "ip": ("version", "release", "chapter"),
+    "card": ("isbn", "tracking", "serial"),
+    "phone": ("isbn", "version", "serial"),
+    "iban": ("sample", "specimen"),
+    "ssn": ("isbn", "part", "serial", "version"),
+}
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.4}
-NEAR, GAIN, KEEP = 40, 0.3, 0.5
+NEAR, GAIN, LOSS, KEEP = 40, 0.3, 0.3, 0.5
+_FOR, _AGAINST = ({k: re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, v))})(?!\w)") for k, v in words.items()} for words in (CONTEXT, AGAINST))
 
 
 def luhn(digits: str) -> bool:
@@ -94,8 +102,8 @@ def spans(text: str) -> list[tuple[int, str, int, float]]:
     out = []
     for a, kind, b in found:
         around = text[max(0, a - NEAR) : a].lower() + " " + text[b : b + NEAR].lower()
-        near = any(re.search(rf"(?<!\w){re.escape(w)}(?!\w)", around) for w in CONTEXT[kind])
-        score = min(1.0, PRIOR[kind] + GAIN * near)
+        near, other = _FOR[kind].search(around) is not None, _AGAINST[kind].search(around) is not None
+        score = min(1.0, max(0.0, PRIOR[kind] + GAIN * near - LOSS * other))
         if kind in BASE or score >= KEEP:
             out.append((a, kind, b, score))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[1])))
