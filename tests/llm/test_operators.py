@@ -628,3 +628,20 @@ def test_quote_links_equal_their_sql(spark, tmp_path):
         names = [c[0] for c in got.description]
         expected = sorted((tuple(x[names.index(c)] for c in cols) for x in got.fetchall()), key=repr)
     assert sorted((tuple(x) for x in df.select(*cols).collect()), key=repr) == expected
+
+
+def test_context_moves_scores_both_ways():
+    score = lambda t: {k: s for _, k, _, s in pii.spans(t)}
+    assert score("my ssn 123-45-6789") == {"ssn": pytest.approx(0.7)} and score("123-45-6789") == {} and score("ssn of part 123-45-6789") == {}
+    assert score("4111 1111 1111 1111")["card"] == 0.8 and score("card 4111 1111 1111 1111")["card"] == 1.0 and score("isbn 4111 1111 1111 1111")["card"] == pytest.approx(0.5)
+
+
+def test_index_and_records_must_agree(spark, tmp_path):
+    written = records.write_records(documents(spark, ["some text", "more of it", ""]), f"file://{tmp_path}/r", partitions=1)
+    name = written.files[0][0]
+    assert [(k, x.tolist()) for k, x in records.read_indexed(written.folder, name, block=2)] == [(k, x.tolist()) for k, x in records.read_frames(written.folder, name)]
+    path = next((tmp_path / "r").glob("*.idx"))
+    raw = path.read_bytes()
+    path.write_bytes(raw[:8] + raw[32:40] + raw[16:])  # the first entry points at the second record
+    with pytest.raises(ValueError, match="index"):
+        list(records.read_indexed(written.folder, name))
