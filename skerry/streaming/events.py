@@ -23,7 +23,7 @@ class BounceProcessor(StatefulProcessor):
         self.seconds, self.open_kind, self.modal_kind, self.keep = seconds, open_kind, modal_kind, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", StructType([StructField("path", StringType()), StructField("us", LongType())]), ttl_duration_ms=int(self.keep * 1000))
+        self.last = handle.getValueState("last", StructType([StructField("path", StringType()), StructField("us", LongType())]), ttlDurationMs=int(self.keep * 1000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out = []
