@@ -12,7 +12,7 @@ import numpy as np
 CUT = re.compile(r"(?= [^\s\u180e])|(?=\n[^\s\u180e])")
 SAFE = re.compile(r"\n?[^\s\u180e]")
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-LONGEST, MOST = 64, 2_000_000
+LONGEST, MOST = 64, 1_000_000
 
 
 def default_tokenizer() -> str:
@@ -27,7 +27,7 @@ class Encoder:
     Every id is the library's own. A byte-level pre-tokenizer without a prefix space begins a piece at each
     space or line break that stands before something other than white space, and merges never cross pieces.
     So texts are cut there, and the library encodes each distinct piece once and not for each time that it
-    stands somewhere; a process keeps up to ``MOST`` of them (about 300 MB). Added tokens end a run of white space too, so texts with one go to the library as they
+    stands somewhere; a process keeps up to ``MOST`` of them (about 160 MB). Added tokens end a run of white space too, so texts with one go to the library as they
     are, and so does every text if the file names another pre-tokenizer or a normalizer.
     """
 
