@@ -261,6 +261,12 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean((ones[:, None] > zeros) + 0.5 * (ones[:, None] == zeros)) >= 0.98  # measured 0.993
 
 
+def test_toxicity_accuracy_on_few_labels(spark):
+    d = "/root/testdata/sf0.01"
+    out = toxicity.op1_toxicity(spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
+    assert sum(r.predicted == r.toxic for r in out) / len(out) >= 0.9
+
+
 def test_toxicity_of_one_class_or_conflicting_labels(spark):
     docs = documents(spark, [f"text {i}" for i in range(40)] * 2, ids=[*range(40)] * 2)
     for toxic, below in ((0, True), (1, False)):
